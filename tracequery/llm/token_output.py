@@ -124,7 +124,7 @@ class DacReader:
 
 
 #: White space on which the tokenizers library and str.split() might differ, beside the special tokens' strings.
-_ODD_SPACE = "\x0b\x0c\x1c-\x1f\x85\xa0  -     　"
+_ODD_SPACE = r"\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTERS_THEN_MARKS = re.compile(r"[^\W\d_]+[^\w\s]+")
 
 
