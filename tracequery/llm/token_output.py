@@ -32,7 +32,7 @@ WIDTHS = (8, 8, 16)
 RANK_STEP = 256
 END_ID = 2
 SHARD_TOKENS = 1 << 18
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 TEXTS_AT_ONCE = 256
 
 SHARD_SCHEMA = "part int, shard int, before long, doc_ids array<long>, sizes array<long>, n_ids long, code binary"
@@ -164,8 +164,8 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.cache) > CACHED_WORDS:
-            # Frequent words come early; the cache keeps its older half.
-            self.cache = dict(islice(self.cache.items(), CACHED_WORDS // 2))
+            # Frequent words come early; the cache keeps its older part.
+            self.cache = dict(islice(self.cache.items(), CACHED_WORDS * 4 // 5))
         odd = [bool(self.odd.search(t)) for t in texts]
         split = [() if o else t.split() for t, o in zip(texts, odd)]
         new = [w for w in set().union(*split) if w not in self.cache]
