@@ -151,7 +151,9 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, miss_rate:
     cols = cols.withColumn("vec", F.when(ok, F.transform("vec", lambda x: x + F.lit(0.0)))).withColumn("h", F.when(ok, F.xxhash64("vec")))
     groups = cols.where("vec IS NOT NULL").groupBy("label", "h", "vec").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     groups = materialize(groups.withColumn("gid", F.monotonically_increasing_id()), "vectors")
-    bits, bands = plan_bands(groups.count(), threshold, miss_rate)
+    # Buckets never span labels, so the largest label settles how fine they must be.
+    largest = groups.groupBy("label").count().agg(F.max("count")).first()[0] or 0
+    bits, bands = plan_bands(largest, threshold, miss_rate)
     coded = groups.select("gid", "n", "label", F.size("vec").alias("dim"), "vec").mapInArrow(
         _codes(bits, bands, seed), "gid long, n long, label string, dim int, vec binary, keys array<int>, code binary, factor double"
     )
