@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ LEAST_SCORE = 0.5
 SLACK = 12
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 50_000_000
-CACHED_TOKENS = 500_000
+CACHED_TOKENS = 1_000_000
 
 _MARKS = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -47,10 +48,14 @@ class WordIds(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, token: str) -> int:
-        word = _MARKS.sub("", token.lower())
+        word = token.lower()
+        if not (word[0].isalnum() and word[-1].isalnum()):
+            word = _MARKS.sub("", word)
         got = self.vocabulary.get(word, 0) if word else -1
         if len(self) > CACHED_TOKENS:
-            self.clear()
+            # Frequent tokens come early; the cache keeps its older part.
+            for late in list(islice(self, CACHED_TOKENS * 4 // 5, None)):
+                del self[late]
         self[token] = got
         return got
 
