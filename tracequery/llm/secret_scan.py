@@ -65,14 +65,14 @@ class SlidingEntropy:
         counts: dict[str, int] = {}
         total, w, terms = 0.0, self.window, self.terms
         for i, c in enumerate(text):
-            n = counts.get(c, 0)
-            total += terms[n + 1] - terms[n]
-            counts[c] = n + 1
             if i >= w:
                 old = text[i - w]
                 n = counts[old]
                 total += terms[n - 1] - terms[n]
                 counts[old] = n - 1
+            n = counts.get(c, 0)
+            total += terms[n + 1] - terms[n]
+            counts[c] = n + 1
             if i >= w - 1:
                 yield math.log2(w) - total / w
 
