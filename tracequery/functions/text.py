@@ -21,7 +21,8 @@ def staged(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     one row stands in the way and is part of the generated code.
     """
     own = [c for c in df.columns if c not in cols]
-    return df.select(*own, F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+    made = df.select(*own, *[c.alias(f"__s{i}") for i, c in enumerate(cols.values())])  # shares common parts
+    return made.select(*own, F.inline(F.array(F.struct(*[F.col(f"__s{i}").alias(n) for i, n in enumerate(cols)]))))
 
 
 def strip(c: Column) -> Column:

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def fingerprint(df: DataFrame, text: Column, order: str) -> DataFrame:
@@ -27,7 +28,7 @@ def tree_fingerprint(df: DataFrame, text: Column, order: str, leaf: int = 100_00
 
 def python_json(df: DataFrame, columns: list[str], into: str = "json") -> DataFrame:
     """Adds each row as Python writes it with sorted keys and ASCII escapes, nulls included."""
-    schema = df.schema.add(into, "string")
+    schema = StructType([*df.schema.fields, StructField(into, StringType())])
     names = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

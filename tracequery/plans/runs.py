@@ -38,14 +38,14 @@ def produce_run(problems: DataFrame, events: DataFrame | None, make: Callable[[]
     best = state.chosen_attempt(judged).drop("elapsed_seconds", "prompt_tokens", "completion_tokens", "total_tokens", "attempt")
     for c in ("elapsed_seconds", "prompt_tokens", "completion_tokens"):
         best = best.withColumnRenamed(f"total_{c}", c)
-    best = best.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens")).withColumn("__own", F.when("is_valid", F.col("reasoning_hash")))
+    best = best.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens")).withColumn("__own", F.when(F.col("is_valid"), F.col("reasoning_hash")))
     best = state.flag_duplicates(best, "__own", "source_index")
     twice = F.col("is_valid") & F.col("is_duplicate")
     if forbidden is not None:
         best = best.join(forbidden.select(F.col("reasoning_hash").alias("__f")).distinct(), F.col("__own") == F.col("__f"), "left")
         twice = twice | (F.col("is_valid") & F.col("__f").isNotNull())
     best = best.withColumn("__twice", twice)
-    best = best.withColumn("validation_errors", F.when("__twice", F.array(F.lit("duplicate_reasoning_output"))).otherwise(F.col("validation_errors")))
+    best = best.withColumn("validation_errors", F.when(F.col("__twice"), F.array(F.lit("duplicate_reasoning_output"))).otherwise(F.col("validation_errors")))
     accepted = F.size("validation_errors") == 0
     best = best.withColumn("status", F.when(accepted, "accepted").otherwise("rejected")).withColumn("student_target", F.when(accepted, student_target(F.col("teacher_reasoning"), F.col("teacher_final_answer"))))
     best = best.drop("__own", "__twice", "__f", "is_duplicate")
