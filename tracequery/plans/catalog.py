@@ -20,7 +20,7 @@ from ..operators.validation import falsely_rejected, rescue, student_target, val
 from ..policies import ERROR_CLASSES, FAILURE_REASONS, SplitSpec
 from ..sources import files
 from ..streaming import events as streams
-from .fixtures import GRADED_SQL, OUTPUTS_SQL, REASONS_SQL, graded, outputs, q, table
+from .fixtures import GRADED_SQL, OUTPUTS_SQL, REASONS_SQL, graded, outputs, q, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -588,7 +588,7 @@ def j1_validate_outputs(spark, sf):
 
 def questions(spark, sf):
     """Wrong answers to simple questions, of many kinds."""
-    o = table(spark, sf, "lineitem")
+    o = spread(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"))
     k = F.pmod(F.col("l_orderkey") * 5 + F.col("l_linenumber"), F.lit(9))
     g = big(F.col("l_quantity")) + 20
     pred = F.when(k == 0, g + 1).when(k == 1, g * 10).when(k == 2, g * 2).when(k == 3, g + 7).when(k == 4, g + 9).when(k == 5, g + 11).when(k == 6, g + 13).when(k == 7, g + 17).otherwise(g)
@@ -647,6 +647,72 @@ def k1_bootstrap_interval(spark, sf):
     return compare.bootstrap_large(e)
 
 
+# --- further idioms ------------------------------------------------------------------------------------------
+
+
+@register("select l_orderkey, l_linenumber, list_distinct(list_filter([l_quantity, l_tax * 100, l_discount * 100], lambda v: abs(v - l_linenumber) > 1e-6 and abs(v - 4) > 1e-6)).len() far from lineitem")
+def d14_unmatched_numbers(spark, sf):
+    known = F.array(F.col("l_linenumber").cast("double"), F.lit(4.0))
+    values = F.array("l_quantity", F.col("l_tax") * 100, F.col("l_discount") * 100)
+    far = F.filter(values, lambda v: F.forall(known, lambda x: F.abs(v - x) > 1e-6))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", big(F.size(F.array_distinct(far))).alias("far"))
+
+
+@register("select a.o_orderkey, b.c_name from (select o_orderkey, row_number() over (order by o_orderkey) n from orders) a join (select c_name, row_number() over (order by c_custkey) n from customer) b using (n)")
+def d8_d12_positional_join(spark, sf):
+    def numbered(name, key):
+        return table(spark, sf, name).withColumn("n", F.row_number().over(Window.orderBy(key)))
+
+    return numbered("orders", "o_orderkey").join(numbered("customer", "c_custkey"), "n").select("o_orderkey", "c_name")
+
+
+@register(f"with o as ({OUTPUTS_SQL}) select pid, k, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(question, '-?\\d[\\d,]*(?:\\.\\d+)?')), lambda x: not list_contains(regexp_extract_all(raw_output, '-?\\d[\\d,]*(?:\\.\\d+)?'), x) and x not in ('1', '2'))), '|') unused from o")
+def h4_unused_numbers(spark, sf):
+    left = F.array_except(F.array_except(N.numbers(F.col("question")), N.numbers(F.col("raw_output"))), F.array(F.lit("1"), F.lit("2")))
+    return outputs(spark, sf).select("pid", "k", joined(F.array_sort(left)).alias("unused"))
+
+
+@register(GRADED_SQL + ", e as (select pid, unnest(validation_errors) reason from g) select distinct reason from e where pid % 2 = 0 union select distinct reason from e where pid % 2 = 1")
+def h5_distinct_reasons(spark, sf):
+    e = graded(spark, sf).select("pid", F.explode("validation_errors").alias("reason"))
+    return e.where("pid % 2 = 0").select("reason").union(e.where("pid % 2 = 1").select("reason")).distinct()
+
+
+_ACC = "count(*) filter (is_correct) / count(*)"
+
+
+@register(GRADED_SQL + f""", b as (select {_ACC} acc, max(peak_memory_bytes) / 1073741824.0 gib from g where pid % 2 = 0), a as (select {_ACC} acc, max(peak_memory_bytes) / 1073741824.0 gib from g where pid % 2 = 1)
+select 'before' condition, round(acc, 6) exact_match_accuracy, round(gib, 9)::double peak_cuda_memory_gb, null::double absolute_improvement_over_before, null::double gap_to_teacher_accuracy from b
+union all select 'after', round(a.acc, 6), round(a.gib, 9)::double, round(a.acc - b.acc, 6), round(0.9 - a.acc, 6) from a, b""")
+def h6_i45_k5_comparison_table(spark, sf):
+    from .runs import compare_conditions
+
+    g = graded(spark, sf)
+    t = compare_conditions(g.where("pid % 2 = 0"), g.where("pid % 2 = 1"), 0.9)
+    return t.select("condition", *[F.round(c, d).alias(c) for c, d in (("exact_match_accuracy", 6), ("peak_cuda_memory_gb", 9), ("absolute_improvement_over_before", 6), ("gap_to_teacher_accuracy", 6))])
+
+
+@register("select p_partkey, try_cast(replace(replace('1,' || p_size::varchar || '.5', ',', ''), '$', '') as double) as number, p_name like '%q%' has from part")
+def i15_lenient_number(spark, sf):
+    p = table(spark, sf, "part")
+    return p.select("p_partkey", N.lenient_float(F.concat(F.lit(" $1,"), F.col("p_size").cast("string"), F.lit(".5 "))).alias("number"), F.contains("p_name", F.lit("q")).alias("has"))
+
+
+@register("select l_orderkey, l_linenumber, l_quantity + l_linenumber plus, l_quantity * l_linenumber times, case when l_linenumber % 3 <> 0 then l_quantity / (l_linenumber % 3) end ratio from lineitem")
+def i16_arithmetic(spark, sf):
+    def said(op, right):
+        return F.concat(F.col("l_quantity").cast("long").cast("string"), F.lit(f" {op} "), right.cast("string"), F.lit(" = 0"))
+
+    n = F.col("l_linenumber")
+    t = F.concat_ws("; ", said("+", n), said("x", n), said("/", n % 3))
+    return table(spark, sf, "lineitem").withColumn("e", N.equations(t)).select("l_orderkey", "l_linenumber", *[F.element_at("e", i)["value"].alias(a) for i, a in ((1, "plus"), (2, "times"), (3, "ratio"))])
+
+
+@register("select p_partkey, 'Problem:' || chr(10) || p_name as prompt, '<reasoning>' || chr(10) || p_type || chr(10) || '</reasoning>' || chr(10) || '<final_answer>' || p_size::varchar || '</final_answer>' target from part")
+def i30_i42_prompt_and_target(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", chat.prompt(F.col("p_name"))[1]["content"].alias("prompt"), student_target(F.concat(F.lit(" "), F.col("p_type"), F.lit("\n")), F.col("p_size").cast("string")).alias("target"))
+
+
 # --- training data -------------------------------------------------------------------------------------------
 
 @register("select p_partkey, '<|system|>' || chr(10) || 'Solve the mathematical problem. Return only the numerical answer inside <final_answer> tags.' || chr(10) || '<|user|>' || chr(10) || 'Problem:' || chr(10) || p_name || chr(10) || '<|assistant|>' || chr(10) || '<final_answer>' || p_size::varchar || '</final_answer>' || chr(10) as text from part")

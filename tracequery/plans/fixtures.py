@@ -36,9 +36,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table whose files give fewer tasks than there are cores, dealt out before costly expressions.
+
+    Larger inputs have splits enough and are read as they are, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql = _OUTPUTS.format(text="string", n="\\n").replace("from lineitem", "from {lineitem}")
-    return spark.sql(sql, lineitem=table(spark, sf_dir, "lineitem"))
+    columns = ("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice")
+    return spark.sql(sql, lineitem=spread(table(spark, sf_dir, "lineitem").select(*columns)))
 
 
 #: DuckDB's literals hold real line breaks.
