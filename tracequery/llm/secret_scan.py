@@ -44,7 +44,7 @@ class EntropyPolicy:
         r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
         r"(?i).*(?:example|placeholder|changeme|dummy|sample|xxxx|0123456789|abcdefgh).*",
         r"(.{1,8}?)\1{2,}.{0,8}",
-        r"[A-Za-z0-9_-]*(?:/[A-Za-z_-]+)+/?(?:[A-Za-z0-9_-]*)",
+        r"[A-Za-z0-9_-]*+(?:/[A-Za-z_-]++)++/?[A-Za-z0-9_-]*+",
         r"[-_=+/]+",
     )
     classes: tuple = field(init=False, repr=False, compare=False)
