@@ -105,6 +105,12 @@ def test_drop_keeps_one_of_each_group_and_all_columns(awkward, no_docs):
     assert s.near_duplicates(no_docs).collect() == [] and s.drop_near_duplicates(no_docs).collect() == []
 
 
+def test_drop_takes_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "one text", 7, 7), (2, "one text", 8, 8), (3, "another", 9, 9), (3, "another", 9, 9)], "doc_id long, text string, __ID long, n long")
+    out = s.drop_near_duplicates(docs)
+    assert out.columns == docs.columns and sorted(r.doc_id for r in out.collect()) == [1, 3]
+
+
 def test_hex(spark):
     df = spark.createDataFrame([(-1,), (255,), (0,)], "fp long")
     assert [r[0] for r in df.select(s.hex_of(df.fp)).collect()] == ["f" * 16, "00000000000000ff", "0" * 16]

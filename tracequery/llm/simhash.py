@@ -191,11 +191,15 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     Rows that repeat one ``doc_id`` count as copies and leave one row; rows with a null ``doc_id`` stay.
     Only ids are joined back, so texts move only if the ids to drop exceed the broadcast threshold.
     """
+    key = "__id"
+    while key in map(str.lower, docs.columns):
+        key += "_"
+    same = F.col("doc_id") == F.col(key)
     classes = materialize(near_duplicates(docs, radius), "classes").where("doc_id IS NOT NULL")
-    drop = classes.where("doc_id != component_id").select(F.col("doc_id").alias("__id"))
-    again = classes.groupBy(F.col("doc_id").alias("__id")).count().where("count > 1").select("__id")
+    drop = classes.where("doc_id != component_id").select(F.col("doc_id").alias(key))
+    again = classes.groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
     if not again.isEmpty():
         again = materialize(again, "repeated")
-        one = docs.join(again, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-        docs = docs.join(again, F.col("doc_id") == F.col("__id"), "left_anti").unionByName(one)
-    return docs.join(drop, F.col("doc_id") == F.col("__id"), "left_anti")
+        one = docs.join(again, same, "left_semi").dropDuplicates(["doc_id"])
+        docs = docs.join(again, same, "left_anti").unionByName(one)
+    return docs.join(drop, same, "left_anti")
