@@ -3,7 +3,9 @@ import math
 import numpy as np
 
 from tracequery.llm import embedding_dedup as e
+from tracequery.llm.queries import ORACLE_SQL, QUERIES
 
+from ..oracle import compare, connect
 from .test_simhash import brute_classes
 
 
@@ -58,6 +60,10 @@ def test_sample_vectors(spark, sf_dir):
     assert collected(e.embedding_links(df)) == brute(rows)
 
 
+def test_vectors_equal_their_sql(spark, sf_dir):
+    assert compare("op8_embedding_dedup", spark, sf_dir, QUERIES["op8_embedding_dedup"], ORACLE_SQL["op8_embedding_dedup"], connect(sf_dir)) is None
+
+
 def test_estimate_is_unbiased_and_bounded():
     rng = np.random.default_rng(0)
     a, b = rng.standard_normal((2, 64))

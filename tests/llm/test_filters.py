@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -90,6 +91,25 @@ def test_bad_templates_are_rejected_and_unknown_ones_kept(spark):
     assert got[39] == "block" and got[139] == "allow" and got[259] == "block"
 
 
+def test_urls_equal_their_sql(spark, sf_dir, tmp_path):
+    query, sql = QUERIES["op7_url_filter"], ORACLE_SQL["op7_url_filter"]
+    assert compare("op7_url_filter", spark, sf_dir, query, sql, connect(sf_dir)) is None
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    urls = [*URLS, *(f"http://a.net/{c}{d}/{i}" for c in letters for d in letters[:3] for i in range(3)), *(f"http://a.net/es/{i}" for i in range(6))]
+    urls += [f"http://m.a.net/{k}/{i}" for k in ("es", "fr", "de") for i in range(20)] + [f"http://b.com/x/{i}/deadbeef0{i}/4/5/6" for i in range(9)] + urls[-3:]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert compare("op7_url_filter", spark, str(tmp_path), query, sql, con) is None
+    got = query(spark, str(tmp_path)).where("host = 'a.net'")
+    assert got.where("rule is null and verdict = 'block'").count() == 3 * 26 * 3
+
+
+def test_long_candidates_end():
+    text = "token9 /" + "a" * 100_000 + "/" + "b" * 100_000 + "+9"
+    assert ss.SecretScanner().windows(text) == []
+
+
 def test_water_filling():
     assert mixing.water_fill([10, 100, 100], [3, 1, 2], 90) == [10, pytest.approx(80 / 3), pytest.approx(160 / 3)]
     assert mixing.water_fill([1, 1], [1, 1], 5) == [1, 1] and mixing.water_fill([], [], 0) == [] and mixing.water_fill([0, 4], [3, 1], 3) == [0, 3]
