@@ -31,7 +31,7 @@ def test_positions_outside_are_errors():
 @given(st.lists(st.text(st.characters(codec="utf-8"), max_size=60), max_size=8))
 @settings(max_examples=80, deadline=None)
 def test_cached_words_give_the_library_s_ids(texts):
-    enc = t.encoder_of(open(PATH, encoding="utf-8").read())
+    enc = t.SharedEncoder(open(PATH, encoding="utf-8").read()).get()
     for text, got in zip(texts, enc.encode(texts)):
         assert np.frombuffer(got, "<u4").tolist() == enc.tok.encode(text, add_special_tokens=False).ids
 

@@ -178,24 +178,29 @@ class WordEncoder:
         ]
 
 
-_ENCODERS: dict[int, WordEncoder] = {}
+class SharedEncoder:
+    """A tokenizer to broadcast. A worker process builds its encoder once; the encoder and its word cache go
+    with the broadcast value when the worker turns to other work, so they take no memory from later stages."""
 
+    def __init__(self, tokenizer_json: str):
+        self.tokenizer_json = tokenizer_json
+        self.encoder: WordEncoder | None = None
+
+    def __getstate__(self):
+        return {**self.__dict__, "encoder": None}
 
-def encoder_of(tokenizer_json: str) -> WordEncoder:
-    """One encoder per worker process and tokenizer; its word cache outlives a task."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    key = hash(tokenizer_json)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(tokenizer_json)
-    return _ENCODERS[key]
+    def get(self) -> WordEncoder:
+        if self.encoder is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            self.encoder = WordEncoder(self.tokenizer_json)
+        return self.encoder
 
 
 def _write_shards(tokenizer, end_id: int, shard_tokens: int):
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder_of(tokenizer.value)
+        enc = tokenizer.value.get()
         part, shard, before = TaskContext.get().partitionId(), 0, 0
         docs, sizes, data, held = [], [], [], 0
 
@@ -237,7 +242,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """
     spark = docs.sparkSession
     with open(tokenizer_path, encoding="utf-8") as f:
-        tokenizer = spark.sparkContext.broadcast(f.read())
+        tokenizer = spark.sparkContext.broadcast(SharedEncoder(f.read()))
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     ranged = cols.repartitionByRange(F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions("doc_id")
     ranged.mapInArrow(_write_shards(tokenizer, end_id, shard_tokens), SHARD_SCHEMA).write.parquet(path)
