@@ -20,6 +20,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,7 +125,7 @@ class DacReader:
 
 
 #: White space on which the tokenizers library and str.split() might differ, beside the special tokens' strings.
-_ODD_SPACE = r"\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_ODD_SPACE = "\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _LETTERS_THEN_MARKS = re.compile(r"[^\W\d_]+[^\w\s]+")
 
 
@@ -145,8 +146,8 @@ class WordEncoder:
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
         special = "|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values())
-        self.odd = re.compile(f"[{_ODD_SPACE}]" + (f"|{special}" if special else ""))
-        self.cache: dict[str, bytes] = {}
+        self.odd = f"[{_ODD_SPACE}]" + (f"|{special}" if special else "")
+        self.cache: dict[str, bytes] = {"": b""}
 
     def _learn(self, words: list[str]) -> None:
         for pieces, plain in ((1, [w for w in words if w.isalpha()]), (2, [w for w in words if not w[-1].isalpha() and _LETTERS_THEN_MARKS.fullmatch(w)])):
@@ -161,21 +162,30 @@ class WordEncoder:
         for w, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False) if rest else ()):
             self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
+    def encode(self, texts: list[str] | pa.Array) -> list[np.ndarray]:
+        """Ids of each text (null: empty) as little-endian unsigned 32-bit integers. Words are cut and numbered by
+        Arrow, so the cache is asked once per distinct word of the call, and ids are gathered as arrays."""
         if len(self.cache) > CACHED_WORDS:
             # Frequent words come early; the cache keeps its older part.
             self.cache = dict(islice(self.cache.items(), CACHED_WORDS * 4 // 5))
-        odd = [bool(self.odd.search(t)) for t in texts]
-        split = [() if o else t.split() for t, o in zip(texts, odd)]
-        new = [w for w in set().union(*split) if w not in self.cache]
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        odd = pc.match_substring_regex(texts, self.odd)
+        words = pc.ascii_split_whitespace(pc.if_else(odd, "", texts))
+        coded = words.flatten().dictionary_encode()
+        kinds, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        new = [w for w in kinds if w not in self.cache]
         if new:
             self._learn(new)
-        get = self.cache.__getitem__
-        return [
-            np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() if o else b"".join(map(get, w))
-            for t, o, w in zip(texts, odd, split)
-        ]
+        found = list(map(self.cache.__getitem__, kinds))
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        table = np.frombuffer(b"".join(found), "<u4")
+        n = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = table[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], n)]
+        out = np.split(ids, ends[words.offsets.to_numpy() - words.offsets[0].as_py()][1:-1]) if len(texts) else []
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = np.array(self.tok.encode(texts[i].as_py(), add_special_tokens=False).ids, dtype="<u4")
+        return out
 
 
 class SharedEncoder:
@@ -217,11 +227,10 @@ def _write_shards(tokenizer, end_id: int, shard_tokens: int):
         for batch in batches:
             for i in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 some = batch.slice(i, TEXTS_AT_ONCE)
-                texts = [t or "" for t in some.column(1).to_pylist()]
-                for doc, ids in zip(some.column(0).to_pylist(), enc.encode(texts)):
+                for doc, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1))):
                     docs.append(doc)
                     data.extend((ids, end))
-                    sizes.append(len(ids) // 4 + 1)
+                    sizes.append(len(ids) + 1)
                     held += sizes[-1]
                     if held >= shard_tokens:
                         yield flush()
