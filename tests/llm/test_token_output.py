@@ -28,6 +28,9 @@ def test_positions_outside_are_errors():
         t.DacReader(b"nope" + bytes(8))
 
 
+ENCODERS = {}
+
+
 @given(st.lists(st.text(st.characters(codec="utf-8"), max_size=60), max_size=8))
 @settings(max_examples=80, deadline=None)
 def test_cached_words_give_the_library_s_ids(texts):
@@ -36,6 +39,16 @@ def test_cached_words_give_the_library_s_ids(texts):
         assert got.tolist() == enc.tok.encode(text, add_special_tokens=False).ids
 
 
+@given(st.lists(st.text(st.sampled_from("aZé1_'s,.!|<>\u0301 \n\t\xa0İ"), max_size=30), max_size=8))
+@settings(max_examples=300, deadline=None)
+def test_marks_and_case_give_the_library_s_ids(texts):
+    enc = ENCODERS.setdefault(0, t.SharedEncoder(open(PATH, encoding="utf-8").read())).get()
+    texts += ["<|ENDOFTEXT|> a", "<|endoftext|>,", "end,", "end,\n"]
+    assert enc.lowers and enc.cuts
+    for text, got in zip(texts, enc.encode(texts)):
+        assert got.tolist() == enc.tok.encode(text, add_special_tokens=False).ids, text
+
+
 def brute(rows):
     tok = Tokenizer.from_file(PATH)
     out, at = [], 0

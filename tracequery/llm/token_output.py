@@ -126,6 +126,8 @@ class DacReader:
 
 #: White space on which the tokenizers library and str.split() might differ, beside the special tokens' strings.
 _ODD_SPACE = "\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Marks between an ASCII letter and the end of its word; fixed to ASCII, where nothing combines.
+_END_MARKS = r"([A-Za-z])([!-/:-@\[-^`{-~]+(?:\s|$))"
 _LETTERS_THEN_MARKS = re.compile(r"[^\W\d_]+[^\w\s]+")
 
 
@@ -133,7 +135,9 @@ class WordEncoder:
     """Ids of whole texts through the tokenizers library, with a bounded cache of words.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are those of its words in
-    turn. Each new word goes through the library once per worker. Words of letters only have at least one
+    turn. Each new word goes through the library once per worker. Where the tokenizer lowers ASCII letters and
+    cuts marks off them (tried out on all of these at the start), words are cached in lower case and without
+    the marks at their ends. Words of letters only have at least one
     piece, letters followed by marks at least two; they are encoded many to a call and cut apart at the tokens
     that end a piece, unless the number of pieces shows that some word has more. Texts with unusual white space or the strings of special tokens are encoded
     whole.
@@ -148,6 +152,12 @@ class WordEncoder:
         special = "|".join(re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values())
         self.odd = f"[{_ODD_SPACE}]" + (f"|{special}" if special else "")
         self.cache: dict[str, bytes] = {"": b""}
+        marks = [chr(c) for c in range(33, 127) if chr(c) != "_" and not chr(c).isalnum()]
+        self.lowers = all(self._same(x.upper(), x) for x in ("abcdefghijklmnopqrstuvwxyz", *"abcdefghijklmnopqrstuvwxyz"))
+        self.cuts = all(self._same(f"ab{m}", f"ab {m}") for m in (*marks, "".join(marks)))
+
+    def _same(self, a: str, b: str) -> bool:
+        return self.tok.encode(a, add_special_tokens=False).ids == self.tok.encode(b, add_special_tokens=False).ids
 
     def _learn(self, words: list[str]) -> None:
         for pieces, plain in ((1, [w for w in words if w.isalpha()]), (2, [w for w in words if not w[-1].isalpha() and _LETTERS_THEN_MARKS.fullmatch(w)])):
@@ -169,8 +179,10 @@ class WordEncoder:
             # Frequent words come early; the cache keeps its older part.
             self.cache = dict(islice(self.cache.items(), CACHED_WORDS * 4 // 5))
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
-        odd = pc.match_substring_regex(texts, self.odd)
-        words = pc.ascii_split_whitespace(pc.if_else(odd, "", texts))
+        plain = pc.ascii_lower(texts) if self.lowers else texts
+        odd = pc.or_(pc.match_substring_regex(texts, self.odd), pc.match_substring_regex(plain, self.odd))
+        plain = pc.if_else(odd, "", plain)
+        words = pc.ascii_split_whitespace(pc.replace_substring_regex(plain, _END_MARKS, r"\1 \2") if self.cuts else plain)
         coded = words.flatten().dictionary_encode()
         kinds, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         new = [w for w in kinds if w not in self.cache]
