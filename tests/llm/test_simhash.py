@@ -122,3 +122,46 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(a, b) for a, b in zip(order, order[1:])] + [(500, 501), (501, 501)], "a long, b long")
     got = {r.node: r.component for r in components(edges, "a", "b").collect()}
     assert got == {i: 0 for i in range(n)} | {500: 500, 501: 500}
+
+
+def brute_similarity(a, b):
+    x, y = ({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a.lower().split(), b.lower().split()))
+    return len(x & y) / len(x | y)
+
+
+def test_similar_copies_are_dropped_and_less_similar_texts_kept(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows, want = [], set()
+    for i in range(60):
+        words = [word() for _ in range(rng.randrange(100, 300))]
+        copy = list(words)
+        for j in range(3, len(copy), rng.choice([15, 30, 48, 60, 100])):
+            copy[j] = word()
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+        want |= {2 * i} | ({2 * i + 1} if brute_similarity(rows[-2][1], rows[-1][1]) < 0.8 else set())
+    assert 70 < len(want) < 110
+    near = [brute_similarity(rows[2 * i][1], rows[2 * i + 1][1]) for i in range(60)]
+    assert sum(0.8 <= x < 0.95 for x in near) > 10
+    out = s.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in out.collect()} == want
+
+
+def test_similar_sets_equal_brute_force_also_in_blocks(spark):
+    rng = random.Random(12)
+    base = [rng.choice("abcdefghijklmnopqrst") + str(rng.randrange(50)) for _ in range(60)]
+    texts = []
+    for _ in range(80):
+        words = list(base if rng.random() < 0.7 else texts[rng.randrange(len(texts))].split() if texts else base)
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(len(words))] = str(rng.random())
+        texts.append(" ".join(words))
+    texts = sorted(set(texts))
+    linked = [(i, j) for i in range(len(texts)) for j in range(i) if brute_similarity(texts[i], texts[j]) >= 0.8]
+    want = brute_classes(range(len(texts)), linked)
+    assert s.similar_sets([s.shingles(t) for t in texts], 0.8).tolist() == [want[i] for i in range(len(texts))]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    got = {r.node: r.component for r in s.similar_texts(docs, block=7).collect()}
+    node = [r[0] for r in docs.selectExpr("xxhash64(text)").collect()]
+    label = [got.get(n, n) for n in node]
+    assert [[a == b for b in label] for a in label] == [[want[i] == want[j] for j in want] for i in want]
