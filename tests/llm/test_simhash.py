@@ -165,3 +165,11 @@ def test_similar_sets_equal_brute_force_also_in_blocks(spark):
     node = [r[0] for r in docs.selectExpr("xxhash64(text)").collect()]
     label = [got.get(n, n) for n in node]
     assert [[a == b for b in label] for a in label] == [[want[i] == want[j] for j in want] for i in want]
+
+
+def test_unlike_texts_of_one_id_stay_and_copies_without_id_go(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (None, c), (None, c), (None, a), (2, b), (None, c.upper())]
+    out = s.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted((r.doc_id or 0, r.text.lower()) for r in out.collect())
+    assert got == [(0, c), (1, a), (1, b)]

@@ -336,26 +336,28 @@ def similar_texts(docs: DataFrame, words: int = COPY_WORDS, least: float = LEAST
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = COPY_WORDS, least: float = LEAST_SIMILARITY) -> DataFrame:
-    """``docs`` without the rows whose class of near copies has a smaller ``doc_id``; all columns stay as they are.
+    """``docs`` with one row of every class of near copies, that of smallest ``doc_id``; all columns stay as they are.
 
     Classes are those of :func:`similar_texts`, which do not depend on op10's fingerprints: copies of
     similarity 0.8 differ in about 7 bits on average and many in more, a radius at which neither blocks nor trees
-    narrow the search. Rows that repeat one ``doc_id`` count as copies and leave one row; rows with a null
-    ``doc_id`` stay. Only ids are joined back, so texts move only if the ids to drop exceed the broadcast
-    threshold.
+    narrow the search. Classes follow from texts alone, so unlike texts of one ``doc_id`` all stay, and copies without a
+    ``doc_id`` are dropped like others; a row with one is kept before them. Only ids and text hashes are
+    joined back, so texts move only if the rows to drop exceed the broadcast threshold.
     """
-    key = "__id"
-    while key in map(str.lower, docs.columns):
-        key += "_"
-    same = F.col("doc_id") == F.col(key)
-    ids = docs.select("doc_id", F.xxhash64("text").alias("node")).where("doc_id IS NOT NULL")
+    row, taken = ["__id", "__node"], set(map(str.lower, docs.columns))
+    while taken & set(row):
+        row = [f"{k}_" for k in row]
+    same = F.col("doc_id").eqNullSafe(F.col(row[0])) & (F.xxhash64("text") == F.col(row[1]))
+    ids = docs.select("doc_id", F.xxhash64("text").alias("node"))
     classes = ids.join(materialize(similar_texts(docs, words, least), "similar"), "node", "left")
-    classes = materialize(classes.select("doc_id", F.coalesce("component", "node").alias("class")), "classes")
-    least_id = classes.groupBy("class").agg(F.min("doc_id").alias("low"))
-    drop = classes.join(least_id, "class").where("doc_id != low").select(F.col("doc_id").alias(key))
-    again = classes.groupBy(F.col("doc_id").alias(key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+    classes = materialize(classes.select("doc_id", "node", F.coalesce("component", "node").alias("class")), "classes")
+    low = classes.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("low"))
+    other = ~(F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("node") == F.col("low.node")))
+    names = [F.col(c).alias(k) for c, k in zip(("doc_id", "node"), row)]
+    drop = classes.join(low, "class").where(other).select(*names).distinct()
+    again = classes.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*row)
     if not again.isEmpty():
         again = materialize(again, "repeated")
-        one = docs.join(again, same, "left_semi").dropDuplicates(["doc_id"])
+        one = docs.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])
         docs = docs.join(again, same, "left_anti").unionByName(one)
     return docs.join(drop, same, "left_anti")
