@@ -174,3 +174,22 @@ def test_passages_are_found_edited_and_clean_texts_are_kept(spark, awkward, no_d
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(60)) - set(planted)
     assert dc.contaminated(docs, bench.limit(0)).collect() == [] and dc.contaminated(no_docs, bench).collect() == []
     assert dc.drop_contaminated(awkward, bench).count() == awkward.count()
+
+
+def test_excerpts_of_long_items_are_found(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    items = [[word() for _ in range(n)] for n in (59, 300, 300)]
+    excerpts = {0: (0, 20, 25), 1: (1, 100, 140), 2: (2, 280, 13), 3: (1, 0, 40), 4: (2, 50, 12)}
+    rows = []
+    for i, (k, at, n) in excerpts.items():
+        part = items[k][at : at + n]
+        if i == 3:
+            part[20] = "edited"
+        rows.append((i, " ".join([word() for _ in range(80)] + part + [word() for _ in range(80)])))
+    rows.append((5, " ".join(w if j % 4 else word() for j, w in enumerate(items[1][:100]))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {r.doc_id: (r.item_id, r.first_word, r.end_word) for r in dc.contaminated(docs, bench).collect()}
+    assert got == {i: (k, 80, 80 + n) for i, (k, _, n) in excerpts.items() if n >= 13}
+    assert {r.doc_id for r in dc.drop_contaminated(docs, bench).collect()} == {4, 5}

@@ -5,7 +5,8 @@ n-grams of a test item the rarest one is a seed, by how often its words occur in
 any stretch of ``SEED_RUN + SEED_WORDS - 1`` unchanged words holds a seed, however common a leaked passage
 has become. Texts that contain a seed are aligned with its item around the place it points to, and
 the alignment score, as a share of a perfect one, decides. Edited and paraphrased copies lose score by
-their changed words only.
+their changed words only. A part of an item counts by itself if, with every changed word weighed as
+``STRICT``, it is worth ``PASSAGE_WORDS`` unchanged words, however long the item is.
 
 Test items are a small table; they are broadcast in blocks of a checked size, one pass over the texts a
 block, so texts are never shuffled.
@@ -27,6 +28,8 @@ SEED_WORDS = 3
 SEED_RUN = 5
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
+#: Words of a part that counts by itself, and its score of a changed, missing or added word.
+PASSAGE_WORDS, STRICT = 13, -8
 SLACK = 12
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 50_000_000
@@ -69,18 +72,18 @@ def vocabulary_of(texts: Iterable[str]) -> dict[str, int]:
     return {w: i + 1 for i, w in enumerate(sorted({w for t in texts for w in words_of(t)}))}
 
 
-def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
+def align(item: np.ndarray, window: np.ndarray, mismatch: int = MISMATCH, gap: int = GAP) -> tuple[int, int]:
     """Best local alignment score and the end of the aligned part in the window (exclusive).
 
     A row per item word; within a row, gaps are resolved by a running maximum.
     """
-    steps = np.arange(len(window) + 1) * -GAP
+    steps = np.arange(len(window) + 1) * -gap
     row = np.zeros(len(window) + 1, dtype=np.int64)
     best, end = 0, 0
     for word in item:
         now = np.zeros_like(row)
-        now[1:] = row[:-1] + np.where((window == word) & (word > 0), MATCH, MISMATCH)
-        np.maximum(now, row + GAP, out=now)
+        now[1:] = row[:-1] + np.where((window == word) & (word > 0), MATCH, mismatch)
+        np.maximum(now, row + gap, out=now)
         np.maximum(now, 0, out=now)
         row = np.maximum.accumulate(now + steps) - steps
         at = int(row.argmax())
@@ -153,16 +156,23 @@ class Matcher:
                 low, high = max(0, g[0] - SLACK), min(len(a), g[-1] + len(item) + SLACK)
                 window = a[low:high]
                 # A perfect word can add MATCH at most, so too few common words settle it.
-                if np.isin(item, window).sum() < self.least_score * len(item):
+                if np.isin(item, window).sum() < min(self.least_score * len(item), PASSAGE_WORDS):
                     continue
+                costs = (MISMATCH, GAP)
                 score, end = align(item, window)
-                share = score / (MATCH * len(item))
-                if share >= self.least_score:
-                    _, back = align(item[::-1], window[:end][::-1])
-                    first, stop = low + end - back, low + end
-                    if first >= last:
-                        out.append((self.ids[k], share, first, stop, len(g)))
-                        last = stop
+                if score < self.least_score * MATCH * len(item):
+                    # Stricter costs never add score.
+                    if score < MATCH * PASSAGE_WORDS:
+                        continue
+                    costs = (STRICT, STRICT)
+                    score, end = align(item, window, *costs)
+                    if score < MATCH * PASSAGE_WORDS:
+                        continue
+                _, back = align(item[::-1], window[:end][::-1], *costs)
+                first, stop = low + end - back, low + end
+                if first >= last:
+                    out.append((self.ids[k], score / (MATCH * len(item)), first, stop, len(g)))
+                    last = stop
         return out
 
 
@@ -216,7 +226,8 @@ def _find(matcher):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
     """``doc_id, item_id, score, first_word, end_word, seeds``: a row per passage of ``docs(doc_id, text)`` that
-    aligns with an item of ``benchmark(item_id, text)`` at ``least_score`` of a perfect alignment or more.
+    aligns with an item of ``benchmark(item_id, text)`` at ``least_score`` of a perfect alignment or more, or
+    with a part of it that is worth ``PASSAGE_WORDS`` unchanged words; ``score`` is the share of the whole item.
 
     The places count words from 0, the end exclusive; of overlapping passages for one item the first
     counts. Items of fewer than ``SEED_WORDS`` words, null ones and those with a null ``item_id`` match
