@@ -3,8 +3,9 @@
 A candidate is a long run of key-like characters. A window slides over each of its stretches of one
 character class (hexadecimal, alphanumeric, base64); the window's Shannon entropy is kept up to date from
 the counts of the character that comes in and the one that goes out. Windows above the class's threshold
-are joined into spans. Candidates on the allow-list (UUIDs, alphabets, repeated or placeholder text,
-paths) and spans that a pattern has found already are left out.
+are joined into spans. Candidates on the allow-list (UUIDs, repeated text, paths of word-like segments),
+windows that touch a segment with a placeholder word or an alphabet, and spans that a pattern has found
+already are left out.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 ASSIGN_LEAST = 8
 
+#: Words with a run of digits at most (``Chapter12``, ``x86``, ``HTTP2``), joined by hyphens and underscores.
+_WORD = r"(?:[A-Z]++(?![a-z])|(?:[A-Z]?[a-z]{2,}+)++|[A-Za-z](?![A-Za-z]))?+[0-9]*+(?:[a-z]++|[A-Z]++)?+"
+_SEGMENT = rf"(?:{_WORD}[_-]++)*+{_WORD}"
+
 
 @dataclass(frozen=True)
 class EntropyPolicy:
@@ -42,11 +47,12 @@ class EntropyPolicy:
     candidate: str = r"[0-9A-Za-z+/_=-]{20,}"
     allow: tuple[str, ...] = (
         r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-        r"(?i).*(?:example|placeholder|changeme|dummy|sample|xxxx|0123456789|abcdefgh).*",
         r"(.{1,8}?)\1{2,}.{0,8}",
-        r"[A-Za-z0-9_-]*+(?:/[A-Za-z_-]++)++/?[A-Za-z0-9_-]*+",
+        rf"{_SEGMENT}(?:/{_SEGMENT})++",
         r"[-_=+/]+",
     )
+    segment: str = r"[0-9A-Za-z]+"
+    placeholder: str = r"(?i)example|placeholder|changeme|dummy|sample|xxxx|0123456789|abcdefgh"
     classes: tuple = field(init=False, repr=False, compare=False)
 
     def __post_init__(self):
@@ -84,6 +90,7 @@ class SecretScanner:
         self.policy = policy or EntropyPolicy()
         self.candidate = re.compile(self.policy.candidate)
         self.allow = [re.compile(p) for p in self.policy.allow]
+        self.segment, self.placeholder = re.compile(self.policy.segment), re.compile(self.policy.placeholder)
         self.entropy = SlidingEntropy(self.policy.window)
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
@@ -114,7 +121,8 @@ class SecretScanner:
                     for i, h in enumerate(self.entropy.values(piece)):
                         if h >= bits and not piece[i : i + w].isalpha():
                             hot.append([run.start() + i, run.start() + i + w])
-            hot.sort()
+            mocks = [p.span() for p in self.segment.finditer(s) if self.placeholder.search(p.group())]
+            hot = sorted(h for h in hot if not any(x < h[1] and h[0] < y for x, y in mocks))
             joined: list[list[int]] = []
             for a, b in hot:
                 if joined and a <= joined[-1][1]:
