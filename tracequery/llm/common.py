@@ -3,7 +3,7 @@
 * :func:`materialize` cuts lineage with a Parquet table in the shared checkpoint folder, so a lost
   executor costs at most one stage.
 * :func:`components` is a distributed connected-components operator (alternating large and small stars).
-* :func:`bounded_sample` draws the bounded, documented sample a classifier may be fitted on.
+* :func:`class_sample` draws the bounded, documented sample a classifier may be fitted on.
 * :func:`split_hot` splits over-full join buckets into pairs of blocks, so no task gets an unbounded group.
 """
 
@@ -60,22 +60,46 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def bounded_sample(df: DataFrame, cls: str, key: str, per_class: int, seed: int = 7, max_classes: int = 1000) -> DataFrame:
-    """About ``per_class`` rows of every value of ``cls``, chosen by a seeded hash of ``key``.
+def class_sample(docs: DataFrame, cls: str, per_class: int, known: DataFrame | None = None, total: int | None = None, least: int = 2, max_classes: int = 2000, seed: int = 7) -> DataFrame:
+    """A bounded sample of ``docs(doc_id, text)`` with a class each: ``h``, ``cls``, ``doc_id``, ``text``.
 
-    The class sizes are counted over all rows first. Every class keeps the rows whose hash falls below
-    a share that yields ``per_class`` rows on average, so the result is bounded by
-    ``max_classes * per_class`` rows up to sampling noise, whatever the input size, and a rerun returns
-    the same rows. Rows whose class is null are left out.
+    The class is a column of ``docs``, or comes from ``known(doc_id, cls)``. Rows without a ``doc_id``, a class
+    or a text of one character at least are left out; rows alike in class, ``doc_id`` and text count as one,
+    and an id with two classes counts for both. Every class gives its ``per_class`` rows of smallest hash
+    ``h``, a seeded hash of ``doc_id`` and text, so no class of the input is without rows, one id on many rows
+    fills no class, and a rerun returns the same rows. With ``total`` a class gives fewer rows where there
+    are many classes, but ``least`` of them. At most ``max_classes`` classes take part, the largest first,
+    which bounds the sample whatever the input size. How long a text is plays no part.
+
+    Two passes: the first moves hashes only, of which about ``per_class`` and six standard deviations a
+    class reach the driver; the second fetches the chosen rows' texts by a broadcast of their hashes.
     """
-    counts = df.where(F.col(cls).isNotNull()).groupBy(cls).count().limit(max_classes + 1).collect()
-    if len(counts) > max_classes:
-        raise ValueError(f"more than {max_classes} classes in {cls}")
-    unit = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    keep = F.lit(False)
-    for value, n in counts:
-        keep = keep | ((F.col(cls) == F.lit(value)) & (unit < F.lit(min(1.0, per_class / n))))
-    return df.where(keep)
+    rows = docs.where("doc_id IS NOT NULL AND length(text) > 0").withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    keys = rows.select("doc_id", "h").distinct().join(known.select("doc_id", cls).distinct(), "doc_id") if known is not None else rows
+    keys = keys.where(F.col(cls).isNotNull()).select(cls, "h").distinct()
+    counts = keys.groupBy(cls).count().orderBy(F.desc("count"), cls).limit(max_classes).collect()
+    if total is not None:
+        per_class = max(least, min(per_class, total // max(1, len(counts))))
+    spark, kind = docs.sparkSession, keys.schema[cls].dataType.simpleString()
+    shares = spark.createDataFrame([(v, min(1.0, (per_class + 6 * per_class**0.5) / n)) for v, n in counts], f"`{cls}` {kind}, __share double")
+    unit = F.pmod("h", F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn: dict = {}
+    for v, h in keys.join(F.broadcast(shares), cls).where(unit < F.col("__share")).select(cls, "h").collect():
+        drawn.setdefault(v, []).append(h)
+    chosen = [(v, h) for v, hs in drawn.items() for h in sorted(hs, key=lambda h: (h % (1 << 40), h))[:per_class]]
+    # Rows that repeat a chosen one are reduced where they are read.
+    own = rows.select("h", F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    found = own.join(F.broadcast(spark.createDataFrame(chosen, f"`{cls}` {kind}, h long")), "h")
+    return found.groupBy("h", cls).agg(F.first("__id").alias("doc_id"), F.first("__text").alias("text"))
+
+
+def excerpt(text: Column, key: Column, chars: int, parts: int = 8) -> Column:
+    """A text of at most ``chars`` characters as it is; of a longer one as many windows as ``parts``, one from
+    each equal part of the whole text, at a place that a hash of ``key`` chooses."""
+    size, part = chars // parts, F.floor(F.length(text) / parts)
+    room = F.greatest(part - size, F.lit(0)) + 1
+    windows = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.substring(text, (i * part + F.pmod(F.xxhash64(key, i), room) + 1).cast("int"), F.lit(size)))
+    return F.when(F.length(text) <= chars, text).otherwise(F.array_join(windows, " "))
 
 
 def split_hot(df: DataFrame, keys: list[str], member: str, block: int) -> DataFrame:
@@ -97,6 +121,24 @@ def split_hot(df: DataFrame, keys: list[str], member: str, block: int) -> DataFr
     return out.drop("__n", "__k", "__t")
 
 
+def split_blocks(df: DataFrame, key: str, member: str, block: int, few: int = 1_000_000) -> DataFrame:
+    """Like :func:`split_hot` for buckets of which few are over-full: rows move once, to their group.
+
+    Only buckets of over ``block`` members are looked up, by a broadcast if they are at most ``few`` and by a
+    shuffled join beyond; all others are the pair ``(0, 0)``, those of one member included.
+    """
+    sizes = materialize(df.groupBy(key).count().where(F.col("count") > block), "hot")
+    n = sizes.count()
+    if not n:
+        zero = F.lit(0)
+        return df.withColumns({"__a": zero, "__b": zero, "__s": zero})
+    sizes = sizes.select(key, F.ceil(F.col("count") / F.lit(block)).cast("int").alias("__k"))
+    out = df.join(F.broadcast(sizes) if n <= few else sizes, key, "left").withColumn("__k", F.coalesce("__k", F.lit(1)))
+    out = out.withColumn("__s", F.pmod(F.xxhash64(F.lit(11), F.col(member)), F.col("__k").cast("long")).cast("int"))
+    out = out.withColumn("__t", F.explode(F.sequence(F.lit(0), F.col("__k") - 1)))
+    return out.withColumns({"__a": F.least("__s", "__t"), "__b": F.greatest("__s", "__t")}).drop("__k", "__t")
+
+
 def iter_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[dict[str, np.ndarray]]:
     """Runs of equal integer keys in a sorted stream of batches, as dicts of numpy arrays.
 

@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc32_of
+from .common import class_sample, crc32_of
 
 BUCKETS = 1 << 13
 UNKNOWN = "und"
 PER_LANGUAGE = 400
 SAMPLE_ROWS = 4000
-SAMPLE_CHARS = 20_000
+LEAST_ROWS = 2
+MAX_LANGUAGES = 2000
 RIDGE = 0.3
 AMBIGUOUS_LEAD = 0.15
 
@@ -73,7 +74,8 @@ def codewords(n: int, most: int = 63, seed: int = 3) -> np.ndarray:
     for _ in range(50):
         m = rng.choice(np.array([-1, 1], dtype=np.int8), size=(n, most))
         m = m[:, np.abs(m.sum(0)) < n]
-        d = (m[:, None, :] != m[None, :, :]).sum(2) + np.eye(n, dtype=int) * most
+        signs = m.astype(np.float32)
+        d = (m.shape[1] - signs @ signs.T) / 2 + np.eye(n, dtype=np.float32) * most
         if best is None or d.min() > best[0]:
             best = d.min(), m
     return best[1]
@@ -108,16 +110,15 @@ class LanguageModel:
         return self.decode(self.margins(text))
 
 
-def fit(texts: list[str], langs: list[str]) -> LanguageModel:
+def fit(features: list[tuple[np.ndarray, np.ndarray]], langs: list[str]) -> LanguageModel:
     """Bit classifiers by regularised least squares on +1/-1 targets, solved in the dual for all bits at once."""
     languages = sorted(set(langs))
     codes = codewords(len(languages))
     if not languages:
         return LanguageModel([], codes, np.zeros((BUCKETS + 1, 1), np.float32), codes.astype(float))
     y = np.array([languages.index(x) for x in langs])
-    x = np.zeros((len(texts), BUCKETS + 1), dtype=np.float32)
-    for i, t in enumerate(texts):
-        at, values = ngram_features(t)
+    x = np.zeros((len(features), BUCKETS + 1), dtype=np.float32)
+    for i, (at, values) in enumerate(features):
         x[i, at] = values
     x[:, -1] = 1.0
     targets = codes[y].astype(np.float64)
@@ -132,13 +133,22 @@ def fit(texts: list[str], langs: list[str]) -> LanguageModel:
     return LanguageModel(languages, codes, weights, trust / trust.sum(1, keepdims=True))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Fit on a bounded sample: at most about ``per_language`` documents of a language and ``SAMPLE_ROWS`` in
-    all, each of at most ``SAMPLE_CHARS`` characters, with a non-null text and lang."""
-    sample = bounded_sample(docs, "lang", "doc_id", per_language, max_classes=200)
-    rows = sample.where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id", "lang", "text")
-    rows = sorted(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS).collect(), key=lambda r: (r.lang, r.doc_id or 0))
-    return fit([r.text for r in rows], [r.lang for r in rows])
+def _features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """n-gram buckets and values of whole texts, of a size that does not depend on the text's."""
+    for batch in batches:
+        got = [ngram_features(t.as_py()) for t in batch.column(2)]
+        at = pa.array([a.astype("<u2").tobytes() for a, _ in got], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), at, pa.array([v.tobytes() for _, v in got], pa.binary())], ["h", "lang", "at", "values"])
+
+
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, rows: int = SAMPLE_ROWS) -> LanguageModel:
+    """Fit on a bounded sample: at most ``per_language`` documents of a language, fewer where there are so many
+    languages that ``rows`` in all would not do, but ``LEAST_ROWS`` of each of the ``MAX_LANGUAGES`` most
+    frequent. Features of the whole texts are made where the texts are."""
+    sample = class_sample(docs, "lang", per_language, total=rows, least=LEAST_ROWS, max_classes=MAX_LANGUAGES)
+    got = sample.select("h", "lang", "text").mapInArrow(_features, "h long, lang string, at binary, values binary").collect()
+    got.sort(key=lambda r: (r.lang, r.h))
+    return fit([(np.frombuffer(r.at, "<u2").astype(np.int64), np.frombuffer(r["values"], np.float32)) for r in got], [r.lang for r in got])
 
 
 def _predict(model):
@@ -157,7 +167,7 @@ def identify_languages(docs: DataFrame, folds: int = 5, held_fold: int = 0) -> D
     """``doc_id, held_out, lang_pred, score, ambiguous`` of every row of ``docs(doc_id, text, lang)``.
 
     Learned from documents whose CRC-32 of the id modulo ``folds`` is not ``held_fold``, on a bounded sample
-    (see :func:`train`); predicted from the whole text alone. Null texts, texts without a letter and an
+    (see :func:`train`), texts of any length; predicted from the whole text alone. Null texts, texts without a letter and an
     input without labels give ``und`` with score 0, flagged ambiguous; a null ``doc_id`` is neither held out
     nor learned from; repeated rows come back each; an empty table gives an empty result; further columns
     are ignored.

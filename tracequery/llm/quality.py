@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, crc32_of
+from .common import class_sample, crc32_of, excerpt
 
 DIM = 96
 NONZERO = 6
@@ -126,11 +126,12 @@ class QualityModel:
         w1, b1, w2, b2 = self.layers
         return np.tanh((pooled - self.center) / self.scale @ w1 + b1) @ w2 + b2[0]
 
-    def score(self, text: str | None) -> float:
-        if not self.layers:
-            return 0.5
-        z = float(self.logits(self.pooled(text or "")[None])[0]) / self.temperature
-        return float(1 / (1 + np.exp(-np.clip(z, -35, 35))))
+    def scores(self, pooled: list[np.ndarray]) -> np.ndarray:
+        """Calibrated probabilities of a batch of pooled texts; 0.5 each from a model without layers."""
+        if not self.layers or not pooled:
+            return np.full(len(pooled), 0.5)
+        z = self.logits(np.array(pooled)) / self.temperature
+        return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
 def train_network(x: np.ndarray, y: np.ndarray, seed: int = 5, epochs: int = 150) -> list[np.ndarray]:
@@ -193,22 +194,18 @@ def fit(texts: list[str], labels: list[int]) -> QualityModel:
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, chars: int) -> list[tuple[str, int]]:
-    """A bounded sample of labelled texts, in the order of their ids: about ``per_class`` of each label and of
-    at most ``chars`` characters each. The labels are sampled first, so only their ids are broadcast."""
-    chosen = bounded_sample(labels.where("doc_id IS NOT NULL"), label, "doc_id", per_class, max_classes=8)
-    chosen = chosen.select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
-    texts = docs.select("doc_id", "text").where(F.length("text").between(1, chars))
-    rows = texts.join(F.broadcast(chosen.limit(16 * per_class)), "doc_id").limit(16 * per_class).collect()
-    return [(r.text, r.label) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """``h, label, doc_id, text``: the bounded sample of :func:`.common.class_sample` of the labels 0 and 1."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("label IN (0, 1)")
+    return class_sample(docs.select("doc_id", "text"), "label", per_class, known)
 
 
 def _score(model, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            scores = [m.score(t.as_py()) for t in batch.column(2)]
-            arrays = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= threshold) for s in scores], pa.int32())]
+            scores = m.scores([m.pooled(t.as_py() or "") for t in batch.column(2)])
+            arrays = [batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array((scores >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "score", "predicted"])
 
     return run
@@ -218,9 +215,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold:
     """``doc_id, held_out, score, predicted`` of every row of ``docs(doc_id, text)``.
 
     Learned from ``labels(doc_id, quality)`` of documents whose CRC-32 of the id modulo ``folds`` is not
-    ``held_fold``, on a sample of about ``per_class`` rows of each label and at most ``SAMPLE_CHARS``
-    characters; scored from the whole text alone. Null and empty texts are scored as a text without items;
-    without both labels every score is 0.5; a null ``doc_id`` is neither held out nor learned from;
+    ``held_fold``, on at most ``per_class`` rows of each label; of a text over ``SAMPLE_CHARS`` characters
+    training sees windows from all over it. Scored from the whole text alone. Null and empty texts are
+    scored as a text without items; without both labels every score is 0.5; a null ``doc_id`` is neither
+    held out nor learned from; rows that repeat an id with unlike texts count as documents of their own;
     repeated rows come back each; an empty table gives an empty result; further columns are ignored.
     """
     def held():
@@ -228,6 +226,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold:
 
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held().alias("held_out"), "text")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where(~held())
-    sample = labelled_sample(cols, known, "quality", per_class, SAMPLE_CHARS)
-    model = docs.sparkSession.sparkContext.broadcast(fit([t for t, _ in sample], [y for _, y in sample]))
+    sample = labelled_sample(cols, known, "quality", per_class).select("h", "label", excerpt(F.col("text"), F.col("h"), SAMPLE_CHARS).alias("text"))
+    rows = sorted(sample.collect(), key=lambda r: (r.h, r.label))
+    model = docs.sparkSession.sparkContext.broadcast(fit([r.text for r in rows], [r.label for r in rows]))
     return cols.mapInArrow(_score(model, threshold), "doc_id long, held_out boolean, score double, predicted int")

@@ -2,19 +2,24 @@
 
 Two strings are alike as far as they share subsequences of three characters, each weighted by a decay
 to the power of the stretch it spans; gaps and inserted characters lower a match but do not lose it.
-Landmark strings give a finite feature map, on which a linear machine is trained with the squared hinge
-loss. Labels are of documents: each toxic document is a bag whose strongest string is the positive
-example, chosen anew between fits, and the strings of clean documents are negative ones. A document's
-score is a logistic function of its strongest string. Positive examples are also shown disguised, with a
+The strings of a sentence are its tokens and every two neighbouring words with the gap between them, so
+insults cut by a space and phrases of ordinary words count too. Landmark strings, drawn from both classes,
+give a finite feature map, on which a linear machine is trained with the squared hinge loss. Labels are of
+documents: each toxic document is a bag whose strongest string is the positive example, chosen anew between
+fits, and the strings of clean documents are negative ones. A document's score is a logistic function of
+its strongest token and its strongest pair of words. Positive examples are also shown disguised, with a
 character inserted, doubled or left out.
 
 The kernel to a fixed set of landmarks is linear in a string's subsequences, so the trained machine
 folds into one weight per subsequence; scoring a new string is a sum over its subsequences and a norm.
+For pairs of words the sums come from running totals over the whole text, which bound the scores of all
+pairs, and norms are taken only of pairs whose bound exceeds the best score found so far.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -24,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of
+from .common import crc32_of, materialize
 from .language_id import letter_classes
 from .quality import labelled_sample
 
@@ -33,15 +38,20 @@ REACH = 6
 LONGEST = 24
 LANDMARKS = 128
 PER_CLASS = 1500
-SAMPLE_CHARS = 20_000
+#: Token strings and word pairs of one document that training keeps at most, by a seeded hash where it has more.
+BAG = (2000, 500)
 ROUNDS = 3
 DISGUISES = 3
 #: Share of toxic documents that a score of one half assumes.
-PRIOR = 0.05
+PRIOR, PAIR_PRIOR = 0.02, 0.02
 NEGATIVES = 15_000
 CACHED_TOKENS = 500_000
+#: Units of text whose pairs of words are scored together.
+UNITS = 1 << 20
+LOWEST = -3.0
 
 _LETTERS = re.compile(r"[^\W_]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 _CODES = 1 << 18
 
 
@@ -57,7 +67,7 @@ def strings_of(token: str) -> list[str]:
             out.append(p)
         else:
             out += [p[i : i + LONGEST] for i in range(0, len(p) - LONGEST // 2, LONGEST // 2)]
-    return [p for p in out if len(p) > 2 and not p.isdigit()]
+    return [p for p in out if len(p) > 1 and not p.isdigit()]
 
 
 def spaced_out(tokens: list[str]) -> list[str]:
@@ -83,6 +93,23 @@ def triples(length: int) -> tuple[np.ndarray, np.ndarray]:
     return _TRIPLES[length]
 
 
+def _norms(codes: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The norm of each row's subsequences, equal ones added up."""
+    order = np.argsort(codes, axis=1, kind="stable")
+    ranked = np.take_along_axis(codes, order, 1)
+    new = np.ones(codes.shape, dtype=bool)
+    new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
+    starts = np.flatnonzero(new.ravel())
+    sums = np.add.reduceat(w[order].ravel(), starts)
+    return np.sqrt(np.bincount(starts // codes.shape[1], sums * sums, len(codes)))
+
+
+def _codes_of(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Subsequence codes (a row each) and weights of equally long rows of character classes."""
+    at, w = triples(c.shape[1])
+    return (c[:, at[:, 0]] << 12) | (c[:, at[:, 1]] << 6) | c[:, at[:, 2]], w
+
+
 def subsequences(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For strings of equal length together: their places in the list, subsequence codes (rows), weights of the
     columns, and each string's norm under the kernel. Both ends of a string count as a character."""
@@ -92,25 +119,93 @@ def subsequences(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, n
         by.setdefault(len(c) // 2, []).append(i)
     classes = letter_classes()
     for length, every in by.items():
-        at, w = triples(length + 2)
         for i in range(0, len(every), 4096):
             some = np.array(every[i : i + 4096])
             units = np.frombuffer(b"".join(coded[j] for j in some), "<u2").reshape(len(some), length)
             c = np.zeros((len(some), length + 2), dtype=np.int64)
             c[:, 1:-1] = classes[units]
-            codes = (c[:, at[:, 0]] << 12) | (c[:, at[:, 1]] << 6) | c[:, at[:, 2]]
-            order = np.argsort(codes, axis=1, kind="stable")
-            ranked = np.take_along_axis(codes, order, 1)
-            new = np.ones(codes.shape, dtype=bool)
-            new[:, 1:] = ranked[:, 1:] != ranked[:, :-1]
-            starts = np.flatnonzero(new.ravel())
-            sums = np.add.reduceat(w[order].ravel(), starts)
-            norms = np.sqrt(np.bincount(starts // codes.shape[1], sums * sums, len(some)))
-            yield some, codes, w, norms
+            codes, w = _codes_of(c)
+            yield some, codes, w, _norms(codes, w)
+
+
+@dataclass
+class Pairs:
+    """The pairs of neighbouring words of some texts in one sequence of character classes, every run of other
+    characters as one zero: where each pair starts and ends (its gaps included) and whose it is."""
+
+    sequence: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    owner: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str]) -> Pairs:
+        coded = [f" {t} ".lower().encode("utf-16-le", "surrogatepass") for t in texts]
+        c = letter_classes()[np.frombuffer(b"".join(coded), "<u2")]
+        ends = np.cumsum([len(x) // 2 for x in coded])
+        kept = np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)]) if len(c) else np.zeros(0, bool)
+        place, sequence = np.flatnonzero(kept), c[kept]
+        word = np.flatnonzero((sequence[1:] != 0) & (sequence[:-1] == 0)) + 1
+        stop = np.flatnonzero((sequence[1:] == 0) & (sequence[:-1] != 0)) + 1
+        owner = np.searchsorted(ends, place[word], side="right")
+        start, end = word[:-1] - 1, stop[1:] + 1
+        fine = (owner[1:] == owner[:-1]) & (end - start <= 2 * LONGEST)
+        return cls(sequence, start[fine], end[fine], owner[:-1][fine])
+
+    def sums(self, weights: np.ndarray) -> np.ndarray:
+        """The weighted sum over each pair's subsequences, from running totals for every span."""
+        n, out = len(self.sequence), np.zeros(len(self.start))
+        high, middle = self.sequence << np.uint32(12), self.sequence << np.uint32(6)
+        for span in range(2, REACH + 1):
+            if n <= span:
+                break
+            total = np.zeros(n - span, dtype=weights.dtype)
+            for inner in range(1, span):
+                total += weights[high[: n - span] | middle[inner : n - span + inner] | self.sequence[span:]]
+            run = np.concatenate([[0.0], np.cumsum(total, dtype=np.float64)])
+            first = np.minimum(self.start, n - span)
+            out += DECAY ** (span + 1.0) * (run[np.maximum(self.end - span, first)] - run[first])
+        return out
+
+    def exact(self, some: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Weighted sum by norm of the pairs ``some``."""
+        out, sizes = np.empty(len(some)), (self.end - self.start)[some]
+        for size in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == size)
+            for i in range(0, len(at), 4096):
+                rows = at[i : i + 4096]
+                c = self.sequence[self.start[some[rows]][:, None] + np.arange(size)].astype(np.int64)
+                codes, w = _codes_of(c)
+                out[rows] = (weights[codes] @ w) / _norms(codes, w)
+        return out
+
+    def best(self, weights: np.ndarray, n: int) -> np.ndarray:
+        """The greatest sum by norm among each of n texts' pairs, zero at least.
+
+        A pair's norm is not below that of as many subsequences that all differ, so its sum by that norm is
+        a bound; norms are taken only where the bound exceeds what the text has already.
+        """
+        best = np.zeros(n)
+        sizes = self.end - self.start
+        least = np.ones(2 * LONGEST + 1)
+        for size in np.unique(sizes).tolist():
+            least[size] = np.sqrt((triples(size)[1] ** 2).sum()) or 1.0
+        bound = self.sums(weights.astype(np.float32)) / least[sizes] + 1e-6
+        left = np.flatnonzero(bound > 0)
+        left = left[np.lexsort((-bound[left], self.owner[left]))]
+        while len(left):
+            who = self.owner[left]
+            first = np.concatenate([[True], who[1:] != who[:-1]])
+            rank = np.arange(len(left)) - np.flatnonzero(first)[np.cumsum(first) - 1]
+            now = rank < 4
+            np.maximum.at(best, who[now], self.exact(left[now], weights))
+            left = left[~now]
+            left = left[bound[left] > best[self.owner[left]]]
+        return best
 
 
 def kernel(a: str, b: str) -> float:
-    """The normalised gap-weighted subsequence kernel of two strings of three or more characters."""
+    """The normalised gap-weighted subsequence kernel of two strings."""
     vectors = []
     for s in (a, b):
         (_, codes, w, norms), = subsequences([s])
@@ -186,13 +281,20 @@ def disguised(string: str, rng: np.random.Generator) -> str:
     return string[: at - 1] + string[at:] if at > 1 else string
 
 
+def word_pairs(text: str) -> set[str]:
+    """Every two neighbouring words of a lower-case text with a space between, as :class:`Pairs` sees them."""
+    words = _WORDS.findall(text)
+    return {f"{a} {b}" for a, b in zip(words, words[1:]) if len(a) + len(b) + 3 <= 2 * LONGEST}
+
+
 @dataclass
 class ToxicityModel:
-    """Weight of every subsequence, offset, and the logistic over a document's strongest string."""
+    """Weight of every subsequence, offset, and a logistic each over the strongest token and the strongest pair."""
 
     weights: np.ndarray
     offset: float
-    link: np.ndarray
+    token_link: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    pair_link: np.ndarray = field(default_factory=lambda: np.zeros(2))
     cache: dict[str, float] = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -214,51 +316,84 @@ class ToxicityModel:
             for s in strings_of(t):
                 owners.append(i)
                 strings.append(s)
-        best = np.full(len(new), -3.0)
+        best = np.full(len(new), LOWEST)
         if strings:
             np.maximum.at(best, owners, self.string_scores(strings))
         self.cache.update(zip(new, best.tolist()))
 
     def features(self, texts: list[str]) -> np.ndarray:
-        """The best string score of each text, by whole text."""
+        """The best score of each text's tokens and of its pairs of words, by whole text."""
         tokens = [t.lower().split() for t in texts]
         sets = [set(t).union(spaced_out(t)) for t in tokens]
         self.learn_tokens(set().union(*sets))
         get = self.cache.__getitem__
-        return np.array([max(map(get, s), default=-3.0) for s in sets])
+        out = np.empty((len(texts), 2))
+        out[:, 0] = [max(map(get, s), default=LOWEST) for s in sets]
+        for i, j in _runs([len(t) for t in texts], UNITS):
+            out[i:j, 1] = [self.best_pair(texts[i])] if len(texts[i]) > UNITS else self.offset + Pairs.of(texts[i:j]).best(self.weights, j - i)
+        return out
+
+    def best_pair(self, text: str) -> float:
+        """That of a very long text, piece by piece; pieces overlap by more than a pair."""
+        step = UNITS - 4 * LONGEST
+        return max(self.offset + float(Pairs.of([text[i : i + UNITS]]).best(self.weights, 1)[0]) for i in range(0, len(text), step))
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        z = self.features(texts) * self.link[0] + self.link[1]
+        x = self.features(texts)
+        z = np.maximum(x[:, 0] * self.token_link[0] + self.token_link[1], x[:, 1] * self.pair_link[0] + self.pair_link[1])
         return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
-    """Multiple-instance training; equal texts count once. Without both labels every score is 0.5."""
-    if len(set(labels)) < 2:
-        return ToxicityModel(np.zeros(_CODES), 0.0, np.zeros(2))
-    bags, seen = [], set()
-    for t, y in zip(texts, labels):
-        tokens = t.lower().split()
-        bag = frozenset(s for token in set(tokens).union(spaced_out(tokens)) for s in strings_of(token))
-        if bag and (bag, y) not in seen:
-            seen.add((bag, y))
-            bags.append((bag, y))
-    toxic, clean = [b for b, y in bags if y == 1], [b for b, y in bags if y == 0]
-    in_toxic, in_clean = Counter(s for b in toxic for s in b), Counter(s for b in clean for s in b)
-    odds = {s: np.log((n + 0.5) / (len(toxic) + 1)) - np.log((in_clean[s] + 0.5) / (len(clean) + 1)) for s, n in in_toxic.items()}
-    strength = {s: o * np.sqrt(in_toxic[s]) for s, o in odds.items()}
+def _runs(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Runs of neighbours of at most ``most`` together; a larger one is a run of its own."""
+    first, held = 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and held + n > most:
+            yield first, i
+            first, held = i, 0
+        held += n
+    if sizes:
+        yield first, len(sizes)
+
+
+def bag_of(text: str, seed: int = 0) -> tuple[set[str], set[str]]:
+    """Token strings and word pairs of a text, those of smallest seeded hash where there are over ``BAG``."""
+    lower = text.lower()
+    tokens = lower.split()
+    strings = {s for t in set(tokens).union(spaced_out(tokens)) for s in strings_of(t)}
+    return tuple(x if len(x) <= n else set(sorted(x, key=lambda v: (zlib.crc32(v.encode("utf-8", "surrogatepass"), seed), v))[:n]) for x, n in zip((strings, word_pairs(lower)), BAG))
+
+
+Bag = tuple[frozenset[str], frozenset[str], int]
+
+
+def fit(bags: list[Bag]) -> tuple[ToxicityModel, np.ndarray, np.ndarray]:
+    """Multiple-instance training on bags ``(tokens, pairs, label)``; equal bags count once. Returns a model
+    without links, and scores of disguised examples: of tokens, and of such cut in two by a space."""
+    bags = list(dict.fromkeys(b for b in bags if b[0]))
+    toxic, clean = [b for b in bags if b[2] == 1], [b for b in bags if b[2] == 0]
+    if not toxic or not clean:
+        return ToxicityModel(np.zeros(_CODES), 0.0), np.empty(0), np.empty(0)
+    in_toxic, in_clean = (Counter(s for b in some for part in b[:2] for s in part) for some in (toxic, clean))
+    odds = {s: np.log((n + 0.5) / (len(toxic) + 1)) - np.log((in_clean[s] + 0.5) / (len(clean) + 1)) for s, n in in_toxic.items() if " " not in s or n > 1}
+    strength = {s: o * np.sqrt(in_toxic[s]) for s, o in odds.items() if " " not in s or o > 1}
+    strings = [sorted(s for part in b[:2] for s in part if s in strength) for b in toxic]
     rng = np.random.default_rng(17)
-    negatives = sorted(in_clean)
-    rng.shuffle(negatives)
-    first = Counter(max(sorted(b), key=strength.__getitem__) for b in toxic)
-    marks = [s for s, _ in sorted(first.items(), key=lambda x: (-x[1], x[0]))[:LANDMARKS]]
-    marks += [s for s in negatives[:LANDMARKS] if s not in first]
+    negatives = [sorted({s for b in clean for s in b[k]}) for k in (0, 1)]
+    for some in negatives:
+        rng.shuffle(some)
+    first = Counter(max(b, key=strength.__getitem__) for b in strings)
+    # Landmarks are drawn from the examples of both classes without regard to strength.
+    marks = [str(s) for s in rng.permutation(sorted(first))[:LANDMARKS]]
+    marks += [s for some, n in zip(negatives, (LANDMARKS, LANDMARKS // 2)) for s in some[:n] if s not in first]
     own = landmark_features(marks, marks).astype(np.float64)
     values, vectors = np.linalg.eigh((own + own.T) / 2 + 1e-6 * np.eye(len(marks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    witnesses, hard, model = first, [], None
+    witnesses, hard = first, []
+    every = sorted(strength)
+    mined = [s for some in negatives for s in some[: 3 * NEGATIVES]]
     for _ in range(ROUNDS):
-        pos, neg = sorted(witnesses), list(dict.fromkeys([*negatives[:NEGATIVES], *hard]))
+        pos, neg = sorted(witnesses), list(dict.fromkeys([*negatives[0][:NEGATIVES], *negatives[1][: NEGATIVES // 2], *hard]))
         counts = np.sqrt([witnesses[s] for s in pos] * (1 + DISGUISES))
         pos += [disguised(s, rng) for _ in range(DISGUISES) for s in pos]
         x = landmark_features(pos + neg, marks) @ root
@@ -270,14 +405,22 @@ def fit(texts: list[str], labels: list[int]) -> ToxicityModel:
         for some, codes, w, norms in subsequences(marks):
             for r, i in enumerate(some.tolist()):
                 np.add.at(table, codes[r], beta[i] * w / norms[r])
-        model = ToxicityModel(table, float(v[-1]), np.zeros(2))
-        every = sorted(in_toxic)
+        model = ToxicityModel(table, float(v[-1]))
         score = dict(zip(every, model.string_scores(every).tolist()))
-        witnesses = Counter(max(sorted(b), key=score.__getitem__) for b in toxic)
-        ranked = model.string_scores(negatives)
-        hard = [negatives[i] for i in np.argsort(-ranked)[:3000].tolist()]
-    x = np.concatenate([model.features(texts), model.string_scores([disguised(s, rng) for s in witnesses.elements()])])
-    model.link = logistic(x[:, None], np.concatenate([labels, np.ones(len(x) - len(labels))]))
+        witnesses = Counter(max(b, key=score.__getitem__) for b in strings)
+        hard = [mined[i] for i in np.argsort(-model.string_scores(mined))[:3000].tolist()]
+    shown = [s for s in witnesses.elements()]
+    cut = [f"{s[:k]} {s[k:]}" for s in shown if len(s) > 3 and " " not in s for k in (int(rng.integers(2, len(s) - 1)),)]
+    return model, model.string_scores([disguised(s, rng) for s in shown]), model.string_scores(cut)
+
+
+def link(model: ToxicityModel, features: np.ndarray, labels: np.ndarray, disguises: np.ndarray, cuts: np.ndarray) -> ToxicityModel:
+    """Fit the two logistics on documents' features and the disguised examples; without both labels every score is 0.5."""
+    if len(set(labels.tolist())) == 2 and model.weights.any():
+        model.token_link = logistic(np.concatenate([features[:, 0], disguises])[:, None], np.concatenate([labels, np.ones(len(disguises))]))
+        clean = features[labels == 0, 1]
+        pairs = np.concatenate([features[labels == 1, 1], cuts])
+        model.pair_link = logistic(np.concatenate([clean, pairs])[:, None], np.repeat([0.0, 1.0], [len(clean), len(pairs)]), PAIR_PRIOR)
     model.cache.clear()
     return model
 
@@ -295,10 +438,32 @@ def _score(model, texts_at_once: int = 256):
     return run
 
 
+def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = [bag_of(t, h & 0xFFFFFFFF) for h, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+        lists = [pa.array([sorted(g[k]) for g in got], pa.list_(pa.string())) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["h", "label", "tokens", "pairs"])
+
+
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
-    """Fit on a bounded sample: about ``per_class`` documents of each label, of at most ``SAMPLE_CHARS`` characters."""
-    sample = labelled_sample(docs, labels, "toxic", per_class, SAMPLE_CHARS)
-    return fit([t for t, _ in sample], [y for _, y in sample])
+    """Fit on a bounded sample: at most ``per_class`` documents of each label, of whatever length; the driver
+    gets at most ``BAG`` strings of each. The links are fitted on the same documents' whole texts."""
+    sample = materialize(labelled_sample(docs, labels, "toxic", per_class).select("h", "label", "text"), "toxic_sample")
+    rows = sample.mapInArrow(_bags, "h long, label int, tokens array<string>, pairs array<string>").collect()
+    known: dict[str, str] = {}
+    rows.sort(key=lambda r: (r.h, r.label))
+    bags = [(*(frozenset(known.setdefault(s, s) for s in part) for part in (r.tokens, r.pairs)), r.label) for r in rows]
+    model, disguises, cuts = fit(bags)
+    del rows, known, bags
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = shared.value.features(batch.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(x[:, 0]), pa.array(x[:, 1])], ["h", "label", "token", "pair"])
+
+    got = sorted(map(tuple, sample.mapInArrow(features, "h long, label int, token double, pair double").collect()))
+    return link(model, np.array([r[2:] for r in got]).reshape(-1, 2), np.array([r[1] for r in got], dtype=float), disguises, cuts)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold: int = 0, per_class: int = PER_CLASS) -> DataFrame:
@@ -306,8 +471,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold
 
     Learned from ``labels(doc_id, toxic)`` of documents whose CRC-32 of the id modulo ``folds`` is not
     ``held_fold``; scored from the whole text alone. Null and empty texts are scored as a text without
-    strings; a null ``doc_id`` is neither held out nor learned from; repeated rows come back each; an empty
-    table gives an empty result; further columns are ignored.
+    strings; without both labels every score is 0.5; a null ``doc_id`` is neither held out nor learned from;
+    rows that repeat an id with unlike texts count as documents of their own; repeated rows come back each;
+    an empty table gives an empty result; further columns are ignored.
     """
     def held():
         return F.coalesce(F.pmod(crc32_of(F.col("doc_id")), F.lit(folds)) == held_fold, F.lit(False))
@@ -321,11 +487,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_fold
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows scored toxic, all columns as they are, in one narrow pass without a join.
 
-    The model is that of :func:`score_toxicity`; the pass carries each row through with its text.
+    The model is that of :func:`score_toxicity`, with its rules for awkward input: null and empty texts are
+    clean and stay unless such texts are labelled toxic, without both labels every row stays, an empty table
+    stays empty.
     """
     held = F.coalesce(F.pmod(crc32_of(F.col("doc_id")), F.lit(5)) == 0, F.lit(False))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where(~held)
-    model = docs.sparkSession.sparkContext.broadcast(train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), known))
+    trained = train(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), known)
+    if not trained.token_link.any():
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(trained)
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
