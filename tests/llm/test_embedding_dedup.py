@@ -74,7 +74,7 @@ def test_estimate_is_unbiased_and_bounded():
         turn = e.rotations(64, 64, seed)
         x, q = a @ turn, b @ turn
         est, spread = e.estimate(np.packbits(x[None] > 0, axis=1), np.array([np.abs(x).sum() / 8]), q[None])
-        errors.append(est[0, 0] - a @ b)
+        errors.append(est[0] - a @ b)
         wide += abs(errors[-1]) > e.SIGMAS * spread[0]
     assert abs(np.mean(errors)) < 0.02 and wide == 0
 
@@ -83,3 +83,33 @@ def test_bands_reach_the_miss_rate():
     for n in (10, 10**4, 10**9):
         bits, bands = e.plan_bands(n, 0.98)
         assert (1 - (1 - math.acos(0.98) / math.pi) ** bits) ** bands <= e.MISS_RATE
+
+
+def test_codes_settle_only_pairs_below_the_threshold():
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((200, 24))
+    x = e.unit_rows(np.repeat(base, 4, 0) + 0.03 * rng.standard_normal((800, 24)))
+    bits, bands = e.plan_bands(20_000, 0.98)
+    codes = np.packbits(x @ e.rotations(24, bits * bands, 3) > 0, axis=1)
+    every = np.arange(len(x))
+    most = e.most_differing(codes.shape[1] * 8, 0.98)
+    found = {(i, j) for a, b in e.pairs_within(codes, every, every, most, bits, 0) for i, j in zip(a.tolist(), b.tolist())}
+    near = x @ x.T >= 0.98
+    want = {(i, j) for i, j in zip(*np.nonzero(near)) if i < j}
+    assert len(want) > 500 and want <= found
+    keys = e.band_keys(codes, bits, bands)
+    met = (keys[:, None] == keys[None]).any(2)
+    assert all(met[i, j] for i, j in want)
+    # Counted in the first band of agreement only.
+    seen = []
+    for band in range(bands):
+        for k in np.unique(keys[:, band]):
+            rows = np.flatnonzero(keys[:, band] == k)
+            seen += [(i, j) for a, b in e.pairs_within(codes, rows, rows, most, bits, band) for i, j in zip(a.tolist(), b.tolist())]
+    assert len(seen) == len(set(seen)) and want <= set(seen)
+
+
+def test_vectors_of_unlike_lengths_and_double_components(spark):
+    rows = [(i, [1.0 + 1e-9 * i] + [0.1] * (n - 1), 1) for i, n in enumerate([1, 3, 3, 9, 9, 130, 130])] + [(20, [1.0, 2.0, 3.0], 2), (21, [1.0, 2.0, 3.0], 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert collected(e.embedding_links(df)) == brute(rows)
