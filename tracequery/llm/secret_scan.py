@@ -3,9 +3,9 @@
 A candidate is a long run of key-like characters. A window slides over each of its stretches of one
 character class (hexadecimal, alphanumeric, base64); the window's Shannon entropy is kept up to date from
 the counts of the character that comes in and the one that goes out. Windows above the class's threshold
-are joined into spans. Candidates on the allow-list (UUIDs, repeated text, paths of word-like segments),
-windows that touch a segment with a placeholder word or an alphabet, and spans that a pattern has found
-already are left out.
+are joined into spans. The allow-list (UUIDs, repeated text, paths of word-like segments) suppresses whole
+candidates and whole spans that it matches; windows that touch a placeholder word, an alphabet, or what a
+pattern has found already are left out, and the other windows of their candidate stay.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -51,7 +51,6 @@ class EntropyPolicy:
         rf"{_SEGMENT}(?:/{_SEGMENT})++",
         r"[-_=+/]+",
     )
-    segment: str = r"[0-9A-Za-z]+"
     placeholder: str = r"(?i)example|placeholder|changeme|dummy|sample|xxxx|0123456789|abcdefgh"
     classes: tuple = field(init=False, repr=False, compare=False)
 
@@ -90,7 +89,7 @@ class SecretScanner:
         self.policy = policy or EntropyPolicy()
         self.candidate = re.compile(self.policy.candidate)
         self.allow = [re.compile(p) for p in self.policy.allow]
-        self.segment, self.placeholder = re.compile(self.policy.segment), re.compile(self.policy.placeholder)
+        self.placeholder = re.compile(self.policy.placeholder)
         self.entropy = SlidingEntropy(self.policy.window)
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
@@ -104,39 +103,46 @@ class SecretScanner:
         out += [(*m.span(), 2) for m in HEX.finditer(text)]
         return out
 
-    def windows(self, text: str) -> list[tuple[int, int]]:
-        """Joined windows of high entropy, allow-list applied."""
+    def allowed(self, string: str) -> bool:
+        return any(a.fullmatch(string) for a in self.allow)
+
+    def windows(self, text: str, taken: Sequence[tuple[int, int]] = ()) -> list[tuple[int, int]]:
+        """Joined windows of high entropy outside the spans ``taken``, allow-list applied."""
         out = []
         w = self.policy.window
         for m in self.candidate.finditer(text):
-            s = m.group()
-            if not any(c.isdigit() for c in s) or s.isdigit() or any(a.fullmatch(s) for a in self.allow):
+            s, start = m.group(), m.start()
+            if not any(c.isdigit() for c in s) or s.isdigit() or self.allowed(s):
                 continue
-            hot: list[list[int]] = []
+            # A window from place i touches [x, y) if x - w < i < y.
+            closed = [p.span() for p in self.placeholder.finditer(s)]
+            closed += [(x - start, y - start) for x, y in taken if x < m.end() and start < y]
+            hot: set[int] = set()
             for _, pattern, bits in self.policy.classes:
                 for run in pattern.finditer(s):
-                    if run.end() - run.start() < w:
-                        continue
                     piece = run.group()
+                    if len(piece) < w:
+                        continue
                     for i, h in enumerate(self.entropy.values(piece)):
                         if h >= bits and not piece[i : i + w].isalpha():
-                            hot.append([run.start() + i, run.start() + i + w])
-            mocks = [p.span() for p in self.segment.finditer(s) if self.placeholder.search(p.group())]
-            hot = sorted(h for h in hot if not any(x < h[1] and h[0] < y for x, y in mocks))
+                            hot.add(run.start() + i)
+            if hot and closed:
+                for x, y in closed:
+                    hot.difference_update(range(x - w + 1, y))
             joined: list[list[int]] = []
-            for a, b in hot:
-                if joined and a <= joined[-1][1]:
-                    joined[-1][1] = max(b, joined[-1][1])
+            for i in sorted(hot):
+                if joined and i <= joined[-1][1]:
+                    joined[-1][1] = i + w
                 else:
-                    joined.append([a, b])
-            out += [(m.start() + a, m.start() + b) for a, b in joined]
+                    joined.append([i, i + w])
+            out += [(start + a, start + b) for a, b in joined if b - a == len(s) or not self.allowed(s[a:b])]
         return out
 
     def scan(self, text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
         """The base spans and all spans, each sorted by start, then kind."""
         text = text or ""
         base = sorted(self.base(text), key=lambda s: (s[0], s[2]))
-        extra = [(a, b, 3) for a, b in self.windows(text) if not any(x < b and a < y for x, y, _ in base)]
+        extra = [(a, b, 3) for a, b in self.windows(text, [(x, y) for x, y, _ in base])]
         return base, sorted(base + extra, key=lambda s: (s[0], s[2]))
 
 
