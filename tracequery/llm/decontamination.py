@@ -1,11 +1,12 @@
 """Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
 
-Words are compared in lower case without marks at their ends. Of every run of ``SEED_RUN`` neighbouring
-n-grams of a test item the rarest one is a seed, by how often its words occur in the whole corpus; so
-any stretch of ``SEED_RUN + SEED_WORDS - 1`` unchanged words holds a seed, however common a leaked passage
-has become. Texts that contain a seed are aligned with its item around the place it points to, and
-the alignment score, as a share of a perfect one, decides. Edited and paraphrased copies lose score by
-their changed words only. A part of an item counts by itself if, with every changed word weighed as
+Words are compared in lower case without marks at their ends. Seeds are n-grams of the test items that are rare
+in the corpus, by a count over all its texts: 3-grams, and 2-grams (also with one word between), which
+survive where every third word is edited. Of every ``SEED_RUN`` neighbouring 3-grams of an item the rarest is a
+seed whatever its count, so any stretch of ``SEED_RUN + 2`` unchanged words holds one, however common a
+leaked passage has become. Texts that contain seeds are aligned with their item around the place they point
+to, and the alignment score, as a share of a perfect one, decides. Edited and paraphrased copies lose score
+by their changed words only. A part of an item counts by itself if, with every changed word weighed as
 ``STRICT``, it is worth ``PASSAGE_WORDS`` unchanged words, however long the item is.
 
 Test items are a small table; they are broadcast in blocks of a checked size, one pass over the texts a
@@ -25,7 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SEED_WORDS = 3
-SEED_RUN = 5
+SEED_RUN = 3
+#: Grams of at most so many occurrences per word of the corpus are rare (3-grams, 2-grams, 2-grams with a gap), and
+#: such of at most so many in all.
+RARE, RARE_COUNT = (1e-4, 2e-5, 5e-6), 100.0
+#: Items over so many words are aligned in pieces that overlap by twice ``PASSAGE_WORDS``.
+PIECE_WORDS = 400
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SCORE = 0.5
 #: Words of a part that counts by itself, and its score of a changed, missing or added word.
@@ -92,106 +98,192 @@ def align(item: np.ndarray, window: np.ndarray, mismatch: int = MISMATCH, gap: i
     return best, end
 
 
+class Grams:
+    """The 2- and 3-grams of some word sequences as sorted codes, and the search for them in other sequences.
+
+    A 2-gram with ``gap`` stands for two words with one more between them. A bitmap of hashed 2-grams settles
+    most places of a text with one look.
+    """
+
+    def __init__(self, items: list[np.ndarray], words: int):
+        self.base = words + 1
+        self.two = np.unique(np.concatenate([*(self.code(a, 1) for a in items), *(self.code(a, 2) for a in items), np.empty(0, np.int64)]))
+        self.three = np.unique(np.concatenate([*(self.code3(a) for a in items), np.empty(0, np.int64)]))
+        self.bits = np.zeros(1 << 22, dtype=bool)
+        self.bits[self.slot(self.two)] = True
+
+    def code(self, a: np.ndarray, step: int) -> np.ndarray:
+        return a[: max(0, len(a) - step)] * self.base + a[step:]
+
+    def code3(self, a: np.ndarray) -> np.ndarray:
+        return (a[: max(0, len(a) - 2)] * self.base + a[1 : len(a) - 1]) * self.base + a[2:] if len(a) > 2 else np.empty(0, np.int64)
+
+    @staticmethod
+    def slot(code: np.ndarray) -> np.ndarray:
+        return ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(42)).astype(np.int64)
+
+    @staticmethod
+    def among(known: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``code`` of known codes, and their places among the known ones."""
+        if not len(known) or not len(code):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        place = np.minimum(np.searchsorted(known, code), len(known) - 1)
+        at = np.flatnonzero(known[place] == code)
+        return at, place[at]
+
+    def found(self, a: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For 3-grams, 2-grams and 2-grams with a gap: where in ``a`` they start, and their places among the codes."""
+        known, out = a > 0, []
+        for step in (1, 2):
+            code = self.code(a, step)
+            at = np.flatnonzero(known[: len(code)] & known[step:] & self.bits[self.slot(code)])
+            some, place = self.among(self.two, code[at])
+            out.append((at[some], place))
+        start = out[0][0]
+        start = start[:-1][np.diff(start) == 1]
+        some, place = self.among(self.three, (a[start] * self.base + a[start + 1]) * self.base + a[start + 2])
+        return [(start[some], place), *out]
+
+
 class Matcher:
     """Seeds of the test items and the search for them in word ids."""
 
-    def __init__(self, items: list[tuple[int, str]], vocabulary: dict[str, int], counts: np.ndarray, least_score: float = LEAST_SCORE):
-        self.ids, self.least_score = [i for i, _ in items], least_score
+    def __init__(self, items: list[tuple[int, str]], vocabulary: dict[str, int], grams: Grams, counts: list[np.ndarray], total: int, least_score: float = LEAST_SCORE):
+        """``counts`` are those of the 3-grams, 2-grams and 2-grams with a gap in a corpus of ``total`` words."""
+        self.least_score, self.grams = least_score, grams
         self.words = WordIds(vocabulary)
-        self.base = len(vocabulary) + 1
-        self.items = [self.words.of(t) for _, t in items]
-        logs = np.log(counts + 1.0)
-        where: dict[int, list[tuple[int, int]]] = {}
+        self.ids: list[int] = []
+        self.items: list[np.ndarray] = []
+        self.first: list[int] = []
+        for i, t in items:
+            every = self.words.of(t)
+            for at in range(0, max(1, len(every) - 2 * PASSAGE_WORDS), PIECE_WORDS - 2 * PASSAGE_WORDS):
+                self.ids.append(i)
+                self.items.append(every[at : at + PIECE_WORDS])
+                self.first.append(at)
+        self.sizes = np.array([len(a) for a in self.items], dtype=np.int64)
+        self.lengths = {i: len(self.words.of(t)) for i, t in items}
+        rare = [c <= max(RARE_COUNT, share * total) for c, share in zip(counts, RARE)]
+        # Per kind of gram: the item pieces and places of each code, in runs.
+        chosen: list[list[tuple[int, int, int]]] = [[], [], []]
         for k, a in enumerate(self.items):
-            grams = self.grams(a)
-            if not len(grams):
+            three = np.searchsorted(grams.three, grams.code3(a))
+            keep = rare[0][three]
+            for i in range(max(0, len(three) - SEED_RUN + 1)) or range(min(1, len(three))):
+                keep[i + int(np.argmin(counts[0][three[i : i + SEED_RUN]]))] = True
+            chosen[0] += [(int(three[i]), k, i) for i in np.flatnonzero(keep).tolist()]
+            one, two = (np.searchsorted(grams.two, grams.code(a, step)) for step in (1, 2))
+            # A pair of the item may stand in a text as it is, lose the word between, or gain one.
+            chosen[1] += [(int(c), k, i) for i, c in enumerate(one.tolist()) if rare[1][c]]
+            chosen[2] += [(int(c), k, i) for i, c in [*enumerate(one.tolist()), *enumerate(two.tolist())] if rare[2][c]]
+        self.runs = []
+        for kind, known in zip(chosen, (grams.three, grams.two, grams.two)):
+            rows = np.array(sorted(kind), dtype=np.int64).reshape(-1, 3)
+            edges = np.searchsorted(rows[:, 0], np.arange(len(known) + 1))
+            self.runs.append((edges, rows[:, 1], rows[:, 2]))
+
+    def hits(self, a: np.ndarray) -> np.ndarray:
+        """Rows ``(piece, place in the text less that in the piece, kind)`` of every seed in a text's word ids,
+        sorted; kinds are 0 for 3-grams, else 1."""
+        out = []
+        for kind, ((at, place), (edges, item, where)) in enumerate(zip(self.grams.found(a), self.runs)):
+            first, n = edges[place], edges[place + 1] - edges[place]
+            if not n.any():
                 continue
-            cost = sum(logs[a[j : j + len(grams)]] for j in range(SEED_WORDS))
-            chosen = {int(i + np.argmin(cost[i : i + SEED_RUN])) for i in range(max(1, len(grams) - SEED_RUN + 1))}
-            for i in sorted(chosen):
-                where.setdefault(int(grams[i]), []).append((k, i))
-        self.seeds = np.array(sorted(where), dtype=np.int64)
-        self.places = [where[s] for s in self.seeds.tolist()]
-
-    def grams(self, a: np.ndarray) -> np.ndarray:
-        out = a[: max(0, len(a) - SEED_WORDS + 1)].copy()
-        for j in range(1, SEED_WORDS):
-            out = out * self.base + a[j : j + len(out)]
-        return out
-
-    def hits(self, a: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """``(item, place in the item, place in the text)`` of every seed in a text's word ids."""
-        if len(a) < SEED_WORDS or not len(self.seeds):
+            rows = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            out.append(np.stack([item[rows], np.repeat(at, n) - where[rows], np.full(len(rows), min(kind, 1))], axis=1))
+        if not out:
+            return np.empty((0, 3), np.int64)
+        rows = np.concatenate(out)
+        return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+
+    def passages(self, item: np.ndarray, window: np.ndarray, low: int) -> Iterator[tuple[int, int, int]]:
+        """``(score, first, stop)`` of the best passage in a window and of those before and after it."""
+        # A perfect word can add MATCH at most, so too few common words settle it.
+        if np.isin(item, window).sum() < min(self.least_score * len(item), PASSAGE_WORDS):
             return
-        known = a > 0
-        full = known[: len(a) - SEED_WORDS + 1].copy()
-        for j in range(1, SEED_WORDS):
-            full &= known[j : j + len(full)]
-        at = np.flatnonzero(full)
-        code = a[at]
-        for j in range(1, SEED_WORDS):
-            code = code * self.base + a[at + j]
-        place = np.minimum(np.searchsorted(self.seeds, code), len(self.seeds) - 1)
-        for p, s in zip(at[found := self.seeds[place] == code].tolist(), place[found].tolist()):
-            for k, i in self.places[s]:
-                yield k, i, p
+        costs = (MISMATCH, GAP)
+        score, end = align(item, window)
+        if score < self.least_score * MATCH * len(item):
+            # Stricter costs never add score.
+            if score < MATCH * PASSAGE_WORDS:
+                return
+            costs = (STRICT, STRICT)
+            score, end = align(item, window, *costs)
+            if score < MATCH * PASSAGE_WORDS:
+                return
+        _, back = align(item[::-1], window[:end][::-1], *costs)
+        yield from self.passages(item, window[: end - back], low)
+        yield score, low + end - back, low + end
+        yield from self.passages(item, window[end:], low + end)
 
     def find(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
         """``(item_id, score, first word, last word exclusive, seeds)`` of every aligned passage."""
         a = self.words.of(text or "")
-        lines: dict[int, list[int]] = {}
-        for k, i, p in self.hits(a):
-            lines.setdefault(k, []).append(p - i)
-        out = []
-        for k, starts in sorted(lines.items()):
+        if len(a) < 2:
+            return []
+        hits = self.hits(a)
+        if not len(hits):
+            return []
+        found: list[tuple[int, int, float, int, int, int]] = []
+        piece, shift, kind = hits.T
+        # Seeds of one piece that point to about the same place are a group; groups are kept short, so that
+        # copies in a row are looked at a few at a time.
+        new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (np.diff(shift) > SLACK)])
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(hits))
+        # An alignment of half the score that holds no 3-gram of the item holds a pair in every six words.
+        likely = (np.minimum.reduceat(kind, starts) == 0) | (ends - starts >= np.minimum(self.sizes[piece[starts]] // 6, 3))
+        for x, y in zip(starts[likely].tolist(), ends[likely].tolist()):
+            k = int(piece[x])
             item = self.items[k]
-            starts.sort()
-            groups = [[starts[0]]]
-            for s in starts[1:]:
-                if s - groups[-1][-1] > SLACK:
-                    groups.append([])
-                groups[-1].append(s)
-            last = -1
-            for g in groups:
-                low, high = max(0, g[0] - SLACK), min(len(a), g[-1] + len(item) + SLACK)
-                window = a[low:high]
-                # A perfect word can add MATCH at most, so too few common words settle it.
-                if np.isin(item, window).sum() < min(self.least_score * len(item), PASSAGE_WORDS):
-                    continue
-                costs = (MISMATCH, GAP)
-                score, end = align(item, window)
-                if score < self.least_score * MATCH * len(item):
-                    # Stricter costs never add score.
-                    if score < MATCH * PASSAGE_WORDS:
-                        continue
-                    costs = (STRICT, STRICT)
-                    score, end = align(item, window, *costs)
-                    if score < MATCH * PASSAGE_WORDS:
-                        continue
-                _, back = align(item[::-1], window[:end][::-1], *costs)
-                first, stop = low + end - back, low + end
-                if first >= last:
-                    out.append((self.ids[k], score / (MATCH * len(item)), first, stop, len(g)))
-                    last = stop
-        return out
-
-
-def _count(vocabulary):
+            reach, at, last = max(SLACK, len(item) // 2), x, -1
+            while at < y:
+                to = at + int(np.searchsorted(shift[at:y], shift[at] + reach, side="right"))
+                low, high = max(0, int(shift[at]) - SLACK), min(len(a), int(shift[to - 1]) + len(item) + SLACK)
+                for score, first, stop in self.passages(item, a[max(low, last) : high], max(low, last)):
+                    found.append((self.ids[k], first, score, stop, to - at, self.first[k]))
+                    last = max(last, stop)
+                at = to
+        return self.joined(found)
+
+    def joined(self, found: list[tuple[int, int, float, int, int, int]]) -> list[tuple[int, float, int, int, int]]:
+        """Passages by item and place. Those of neighbouring pieces of a long item that meet become one; of
+        overlapping ones for one piece the first counts."""
+        out: list[list] = []
+        for i, first, score, stop, seeds, at in sorted(found):
+            share = score / (MATCH * max(1, self.lengths[i]))
+            if out and out[-1][0] == i and first < out[-1][3] + (SLACK if at > out[-1][5] else 0):
+                if at > out[-1][5]:
+                    out[-1] = [i, min(1.0, out[-1][1] + share), out[-1][2], max(stop, out[-1][3]), out[-1][4] + seeds, at]
+                continue
+            out.append([i, share, first, stop, seeds, at])
+        return [tuple(r[:5]) for r in out]
+
+
+def _count(vocabulary, grams):
+    """Occurrences of each gram in a task's texts, and the number of words (kind 3)."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(vocabulary.value)
-        counts = np.zeros(len(vocabulary.value) + 1, dtype=np.int64)
+        words, g = WordIds(vocabulary.value), grams.value
+        counts = [np.zeros(len(k), dtype=np.int64) for k in (g.three, g.two, g.two)] + [np.zeros(1, dtype=np.int64)]
         for batch in batches:
             for t in batch.column(0):
-                counts += np.bincount(words.of(t.as_py() or ""), minlength=len(counts))
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["word", "n"])
+                a = words.of(t.as_py() or "")
+                counts[3][0] += len(a)
+                for c, (_, place) in zip(counts, g.found(a)):
+                    if len(place):
+                        c += np.bincount(place, minlength=len(c))
+        for kind, c in enumerate(counts):
+            at = np.flatnonzero(c)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind)), pa.array(at), pa.array(c[at])], ["kind", "gram", "n"])
 
     return run
 
 
 def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
-    """Test items in blocks of at most about ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters."""
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND length(text) > 0")
+    """Distinct test items in blocks of at most about ``BLOCK_ITEMS`` items and ``BLOCK_CHARS`` characters."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL AND length(text) > 0").distinct()
     n, chars = rows.agg(F.count(F.lit(1)), F.sum(F.length("text").cast("long"))).first()
     k = max(1, -(-n // BLOCK_ITEMS), -(-(chars or 0) // BLOCK_CHARS))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(k))
@@ -199,16 +291,18 @@ def _blocks(benchmark: DataFrame) -> list[list[tuple[int, str]]]:
 
 
 def matchers(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE) -> list:
-    """A broadcast matcher per block of test items, with word counts over all of ``docs``."""
-    out = []
+    """A broadcast matcher per block of test items, with gram counts over all of ``docs``."""
+    out, sc = [], docs.sparkSession.sparkContext
     for items in _blocks(benchmark):
         vocabulary = vocabulary_of(t for _, t in items)
-        shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-        counted = docs.select("text").mapInArrow(_count(shared), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-        counts = np.zeros(len(vocabulary) + 1)
-        for word, n in counted:
-            counts[word] = n
-        out.append(docs.sparkSession.sparkContext.broadcast(Matcher(items, vocabulary, counts, least_score)))
+        words = WordIds(vocabulary)
+        grams = Grams([words.of(t) for _, t in items], len(vocabulary))
+        shared = sc.broadcast(vocabulary), sc.broadcast(grams)
+        counted = docs.select("text").mapInArrow(_count(*shared), "kind int, gram long, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n")).collect()
+        counts = [np.zeros(len(k)) for k in (grams.three, grams.two, grams.two)] + [np.zeros(1)]
+        for kind, gram, n in counted:
+            counts[kind][gram] = n
+        out.append(sc.broadcast(Matcher(items, vocabulary, grams, counts[:3], int(counts[3][0]), least_score)))
     return out
 
 
@@ -229,10 +323,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEA
     aligns with an item of ``benchmark(item_id, text)`` at ``least_score`` of a perfect alignment or more, or
     with a part of it that is worth ``PASSAGE_WORDS`` unchanged words; ``score`` is the share of the whole item.
 
-    The places count words from 0, the end exclusive; of overlapping passages for one item the first
-    counts. Items of fewer than ``SEED_WORDS`` words, null ones and those with a null ``item_id`` match
-    nothing; null and empty texts have no passages; repeated rows are reported each; empty tables give
-    an empty result; further columns are ignored.
+    The places count words from 0, the end exclusive; passages that follow one another are rows of their
+    own, of overlapping ones for one item the first counts. Items of fewer than two words, null ones and
+    those with a null ``item_id`` match nothing; repeated rows of ``benchmark`` count once; null and empty texts
+    have no passages; repeated rows of ``docs`` are reported each; empty tables give an empty result;
+    further columns are ignored.
     """
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     schema = "doc_id long, item_id long, score double, first_word long, end_word long, seeds long"
@@ -240,7 +335,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEA
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
-    """``docs`` without the rows that hold an aligned passage, all columns as they are, in narrow passes."""
+    """``docs`` without the rows that hold an aligned passage (see :func:`contaminated`), all columns as they are,
+    in narrow passes. Null and empty texts stay; empty tables are fine."""
     at = docs.columns.index("text")
 
     def keep(matcher):
