@@ -30,12 +30,13 @@ def brute_classes(nodes, linked):
 
 
 def brute_components(rows):
-    fps = [(i, brute_fingerprint(t)) for i, t in rows if i is not None]
+    """Rows link by their fingerprints alone; a class has its smallest id."""
+    fps = [(i, brute_fingerprint(t)) for i, t in rows]
     distinct = sorted({f for _, f in fps})
-    first = {f: min(i for i, g in fps if g == f) for f in distinct}
-    linked = [(first[a], first[b]) for k, a in enumerate(distinct) for b in distinct[:k] if (a ^ b).bit_count() <= 3]
-    low = brute_classes(set(first.values()), linked)
-    return sorted((i, f"{f:016x}", low[first[f]]) for i, f in fps)
+    linked = [(a, b) for k, a in enumerate(distinct) for b in distinct[:k] if (a ^ b).bit_count() <= 3]
+    low = brute_classes(distinct, linked)
+    ids = {c: min((i for i, f in fps if low[f] == c and i is not None), default=None) for c in low.values()}
+    return sorted((i, f"{f:016x}", ids[low[f]]) for i, f in fps if i is not None)
 
 
 @given(st.text(st.sampled_from("aAbB \tıß\x0b\x1c"), max_size=40))
@@ -88,8 +89,10 @@ def test_split_shards_lose_no_link(spark):
     rng = random.Random(3)
     base = rng.getrandbits(64)
     values = sorted({base ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for _ in range(150)} | {rng.getrandbits(64) for _ in range(50)})
-    rows = [(v - (1 << 64) if v >> 63 else v, i) for i, v in enumerate(values)]
-    edges = s.linked_values(spark.createDataFrame(rows, "fp long, node long"), 3, block=16)
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    place = {v: i for i, v in enumerate(signed)}
+    edges = s.linked_values(spark.createDataFrame([(v,) for v in signed], "fp long"), 3, block=16)
+    edges = spark.createDataFrame([(place[r.src], place[r.dst]) for r in edges.collect()], "src long, dst long")
     got = {r.node: r.component for r in components(edges, "src", "dst").collect()}
     linked = [(i, j) for i, a in enumerate(values) for j, b in enumerate(values[:i]) if (a ^ b).bit_count() <= 3]
     want = brute_classes(range(len(values)), linked)
@@ -173,3 +176,10 @@ def test_unlike_texts_of_one_id_stay_and_copies_without_id_go(spark):
     out = s.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     got = sorted((r.doc_id or 0, r.text.lower()) for r in out.collect())
     assert got == [(0, c), (1, a), (1, b)]
+
+
+def test_an_id_with_unlike_texts_is_no_link(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (None, b), (None, "else")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id or 0) for r in s.near_duplicates(docs).collect())
+    assert got == [(0, 0), (0, 2), (1, 1), (2, 1), (2, 2), (3, 2)]

@@ -134,7 +134,7 @@ def _shard_links(radius: int):
         left, right, held = [], [], 0
         for group in iter_groups(batches, keys):
             values = group["fp"].view(np.uint64).tolist()
-            ids, own = group["node"], group["__s"]
+            ids, own = group["fp"], group["__s"]
             first, second = group["__a"][0], group["__b"][0]
             tree, at, links = BKTree(), [], []
             inside = first == second
@@ -163,30 +163,32 @@ def _shard_links(radius: int):
 
 
 def linked_values(distinct: DataFrame, radius: int = RADIUS, block: int = SHARD_BLOCK) -> DataFrame:
-    """Edges ``(src, dst)`` that connect the nodes of ``distinct(fp, node)`` exactly as links of at most
+    """Edges ``(src, dst)`` that connect the values of ``distinct(fp)`` exactly as links of at most
     ``radius`` differing bits do. Shards with over ``block`` values are searched as pairs of blocks."""
     blocks = blocks_for(distinct.count(), radius)
     shard_keys = [F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("k")) for i, m in enumerate(masks(radius, blocks))]
-    dealt = distinct.withColumn("__shard", F.explode(F.array(*shard_keys))).select("__shard.c", "__shard.k", "fp", "node")
+    dealt = distinct.withColumn("__shard", F.explode(F.array(*shard_keys))).select("__shard.c", "__shard.k", "fp")
     pairs = split_hot(dealt, ["c", "k"], "fp", block)
     keys = ["c", "k", "__a", "__b"]
     pairs = pairs.repartition(*keys).sortWithinPartitions(*keys)
-    return pairs.select(*keys, "__s", "fp", "node").mapInArrow(_shard_links(radius), "src long, dst long")
+    return pairs.select(*keys, "__s", "fp").mapInArrow(_shard_links(radius), "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
     """``(doc_id, fp, component_id)`` of every row of ``docs(doc_id, text)``.
 
-    ``component_id`` is the smallest ``doc_id`` reachable over links of fingerprints that differ in at
-    most ``radius`` bits. Null and empty texts have fingerprint zero and link like any other; repeated
-    rows come back each; a row with a null ``doc_id`` keeps a class only where its fingerprint's class has
-    another ``doc_id``; an empty table gives an empty result; further columns are ignored.
+    ``component_id`` is the smallest ``doc_id`` of the rows reachable over links of fingerprints that differ in
+    at most ``radius`` bits. Null and empty texts have fingerprint zero and link like any other; rows link by
+    their fingerprints alone, so two of one ``doc_id`` with unlike texts are no link between their classes;
+    repeated rows come back each; a row with a null ``doc_id`` links like others and gets null only where its
+    class has no ``doc_id``; an empty table gives an empty result; further columns are ignored.
     """
     fps = materialize(fingerprints(docs, words, seed), "fingerprints")
-    distinct = materialize(fps.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")), "distinct")
-    # A doc_id on several rows may be the smallest of several fingerprints; the class is the same node then.
-    found = components(linked_values(distinct, radius), "src", "dst")
-    classes = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
+    found = components(linked_values(distinct.select("fp"), radius), "src", "dst")
+    nodes = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    classes = nodes.groupBy("component").agg(F.min("low").alias("component_id"))
+    classes = nodes.select("fp", "component").join(classes, "component").drop("component")
     return fps.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
 
 
