@@ -111,6 +111,12 @@ def test_keys_with_slashes_and_beside_placeholder_words_are_found():
     for text in (f"{key}/Zp1DsF6gJ0bT5uEq", f"sample_key={key}", f"example/{key}", f"{key}-dummy", f"x9Kd/Wq3Lz7/Tn5Rb2/{key[:12]}"):
         assert scanner.windows(f"see {text} end"), text
     assert scanner.windows(f"sample_key={key}") == [(6, 31)]
+    assert scanner.windows(f"example{key}") == [(7, 27)] and scanner.windows(f"ab/xxxx/{key}xxxx") == [(8, 28)]
+    long = key + "0123456789" + key[::-1]
+    assert scanner.windows(long) == [(0, 20), (30, 50)]
+    # What a pattern has found hides the windows that touch it, and no others.
+    text = f"{key}x/{key}"
+    assert scanner.windows(text, [(0, 2)]) == [(2, len(text))] and scanner.windows(text, [(0, len(text))]) == []
     rng = random.Random(13)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
     keys = ["".join(rng.choice(letters) for _ in range(40)) for _ in range(5000)]
@@ -208,3 +214,187 @@ def test_excerpts_of_long_items_are_found(spark):
     got = {r.doc_id: (r.item_id, r.first_word, r.end_word) for r in dc.contaminated(docs, bench).collect()}
     assert got == {i: (k, 80, 80 + n) for i, (k, _, n) in excerpts.items() if n >= 13}
     assert {r.doc_id for r in dc.drop_contaminated(docs, bench).collect()} == {4, 5}
+
+
+def plain_windows(text, taken=()):
+    """The entropy spans by counting every window of every candidate anew."""
+    policy, out = ss.EntropyPolicy(), []
+    w = policy.window
+    allowed = lambda s: any(re.fullmatch(p, s) for p in policy.allow)
+    for m in re.finditer(policy.candidate, text):
+        s = m.group()
+        if not re.search("[0-9]", s) or re.fullmatch("[0-9]+", s) or allowed(s):
+            continue
+        closed = [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(policy.placeholder, s)] + list(taken)
+        marks = set()
+        for i in range(len(s) - w + 1):
+            piece = s[i : i + w]
+            h = -sum(n / w * math.log2(n / w) for n in Counter(piece).values())
+            hot = any(re.fullmatch(pattern, piece) and h >= bits - 1e-12 for _, pattern, bits in policy.bits) and not piece.isalpha()
+            if hot and not any(a < m.start() + i + w and m.start() + i < b for a, b in closed):
+                marks.add(i)
+        spans = []
+        for i in sorted(marks):
+            if spans and i <= spans[-1][1]:
+                spans[-1][1] = i + w
+            else:
+                spans.append([i, i + w])
+        out += [(m.start() + a, m.start() + b) for a, b in spans if (a, b) == (0, len(s)) or not allowed(s[a:b])]
+    return out
+
+
+def test_entropy_spans_of_the_query_equal_brute_force(spark):
+    rng = random.Random(21)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+    pieces = ["example", "xxxx", "0123456789", "password=", "AKIA", " ", "/", "usr/lib/python3", "deadbeef" * 4, "550e8400-e29b-41d4-a716-446655440000", "aaaaaa", "é"]
+    texts = ["".join(rng.choice(pieces) if rng.random() < 0.4 else "".join(rng.choice(letters) for _ in range(rng.randrange(1, 40))) for _ in range(8)) for _ in range(400)]
+    got = {r.doc_id: r for r in ss.secret_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    found = 0
+    for i, t in enumerate(texts):
+        base = [tuple(x.split(":")) for x in base_spans(t).split(",") if x]
+        taken = [(int(a), int(b)) for _, a, b in base]
+        want = sorted([(int(a), ss.KINDS.index(k), int(b)) for k, a, b in base] + [(a, 3, b) for a, b in plain_windows(t, taken)])
+        assert got[i].spans == ",".join(f"{ss.KINDS[k]}:{a}:{b}" for a, k, b in want), t
+        found += got[i].n_entropy
+    assert found > 200
+
+
+def test_sources_of_repeated_and_missing_ids_meet_their_targets(spark):
+    rows = [(7, "w " * 20, "a", 1)] * 500 + [(i, "w " * (i % 30 + 1), "ab"[i % 2], 2) for i in range(400)] + [(None, "v " * 11, "c", 3)] * 300 + [(None, "u " * (i % 7), None, 4) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, psource int").repartition(5)
+    out = mixing.mixture(docs).collect()
+    assert len(out) == len(rows)
+    for source in ("a", "b", "c", None):
+        own = [r for r in out if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) / 2 + 1e-6
+        assert all(r.taken <= 2 * r.size for r in own)
+    again = mixing.mixture(docs.repartition(3)).collect()
+    assert sorted(map(str, out)) == sorted(map(str, again))
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns and mixed.count() == sum(r.repeats for r in out)
+
+
+def test_water_filling_equals_the_plain_rounds_and_is_quick():
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randrange(1, 9)
+        caps, weights = [rng.choice([0, 1, 5, rng.random() * 10]) for _ in range(n)], [rng.choice([1, 2, 3]) for _ in range(n)]
+        total = rng.random() * 20
+        want, free, left = [0.0] * n, set(range(n)), total
+        while free:
+            share = sum(weights[i] for i in free)
+            over = {i for i in free if left * weights[i] / share > caps[i] + 1e-12}
+            for i in over or free:
+                want[i] = caps[i] if over else left * weights[i] / share
+            if not over:
+                break
+            left -= sum(caps[i] for i in over)
+            free -= over
+        assert mixing.water_fill(caps, weights, total) == pytest.approx(want)
+    import time
+
+    many = [rng.random() for _ in range(1_000_000)]
+    began = time.perf_counter()
+    assert sum(mixing.water_fill(many, [3, 1, 2] * 333_333 + [3], 2e5)) == pytest.approx(2e5)
+    assert time.perf_counter() - began < 5
+
+
+def test_many_sources_are_joined_by_a_shuffle(spark, monkeypatch):
+    rows = [(i, "w " * (i % 9), f"s{i % 150:04}" * 3) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(tuple, mixing.mixture(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 10)
+    assert sorted(map(tuple, mixing.mixture(docs).collect())) == want and mixing.mix(docs).count() == sum(r[-1] for r in want)
+
+
+def test_branches_are_merged_parents_backed_off_to_and_good_ones_kept(spark):
+    pages, marked = [], []
+
+    def add(host, path, n, bad=None, known=0):
+        for i in range(n):
+            pages.append((len(pages), f"http://{host}{path}/{i}"))
+            if i < known:
+                marked.append((pages[-1][0], i >= bad))
+
+    # Three bad branches and no good one: a branch without labels goes as well.
+    for k in ("x", "y", "z"):
+        add("a.org", f"/{k}", 20, 20, 20)
+    add("a.org", "/new/deep", 5)
+    # As many bad branches, but good ones too.
+    for k in ("x", "y", "z"):
+        add("b.org", f"/{k}", 20, 20, 20)
+    for k in ("p", "q"):
+        add("b.org", f"/{k}", 20, 0, 20)
+    add("b.org", "/new/deep", 5)
+    # One page against a branch is too little by itself; with its like beside it, it is enough.
+    add("c.org", "/m", 5, 1, 1)
+    add("d.org", "/m", 5, 2, 2)
+    add("d.org", "/n", 30, 30, 30)
+    add("d.org", "/good", 30, 0, 30)
+    # A good part of a bad branch stays, however deep; so does a bad part of a good one go.
+    add("e.org", "/a/b/c/spam", 20, 20, 20)
+    add("e.org", "/a/b/c/news", 20, 0, 20)
+    frame = spark.createDataFrame(pages, "page_id long, url string")
+    got = {}
+    for r in url_filter.judge_urls(frame, labelled=spark.createDataFrame(marked, "page_id long, good boolean")).collect():
+        got.setdefault((r.host, r.path.rsplit("/", 1)[0]), set()).add((r.verdict, r.decided_by))
+    assert got["a.org", "/new/deep"] == {("block", "branch")} and got["b.org", "/new/deep"] == {("allow", "branch")}
+    assert all(got["b.org", f"/{k}"] == {("block", "template")} for k in "xyz") and got["b.org", "/p"] == {("allow", "template")}
+    assert got["c.org", "/m"] == {("allow", "template")} and got["d.org", "/m"] == got["d.org", "/n"] == {("block", "template")}
+    assert got["d.org", "/good"] == {("allow", "template")}
+    assert got["e.org", "/a/b/c/spam"] == {("block", "template")} and got["e.org", "/a/b/c/news"] == {("allow", "template")}
+
+
+def decontaminate(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    return dc.contaminated(docs, bench).collect()
+
+
+def test_recall_of_edited_items_against_alignment_of_all_with_all(spark):
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(500)]
+    noise = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [noise(n) for n in (12, 20, 40) for _ in range(12)]
+    texts, every = [], []
+    for step in (3, 4, 5, 6, 8):
+        for k, item in enumerate(items):
+            copy = list(item)
+            for j in range(rng.randrange(step), len(copy), step):
+                copy[j] = rng.choice([rng.choice(vocabulary), "unseen", rng.choice(vocabulary) + " " + copy[j]])
+            text = noise(120)
+            text[60:60] = copy
+            texts.append(" ".join(text))
+            every.append((step, len(item)))
+    got = {(r.doc_id, r.item_id) for r in decontaminate(spark, texts, items)}
+    words = dc.WordIds(dc.vocabulary_of(map(" ".join, items)))
+    coded = [words.of(" ".join(i)) for i in items]
+    want, missed = {}, {}
+    for d, text in enumerate(texts):
+        a = words.of(text)
+        for k, item in enumerate(coded):
+            if dc.align(item, a)[0] >= dc.LEAST_SCORE * dc.MATCH * len(item):
+                want[every[d]] = want.get(every[d], 0) + 1
+                missed[every[d]] = missed.get(every[d], 0) + ((d, k) not in got)
+    assert len(want) == 15 and sum(want.values()) >= 150
+    assert all(missed[c] <= 0.1 * n for c, n in want.items()), missed
+
+
+def test_passages_in_a_row_and_in_long_items_are_rows_of_their_own(spark):
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    items = [[word() for _ in range(n)] for n in (8, 2000)]
+    noise = lambda n: [word() for _ in range(n)]
+    texts = [noise(30) + items[0] * 3 + noise(30), noise(10) + items[0] * 50, noise(50) + items[1] + noise(50), noise(50) + items[1][355:400] + noise(9), items[1][1990:]]
+    got = decontaminate(spark, map(" ".join, texts), items)
+    by = {d: sorted((r.first_word, r.end_word) for r in got if r.doc_id == d) for d in range(5)}
+    assert by[0] == [(30, 38), (38, 46), (46, 54)] and by[1] == [(10 + 8 * i, 18 + 8 * i) for i in range(50)]
+    assert by[2] == [(50, 2050)] and by[3] == [(50, 95)] and by[4] == []
+    assert [r.score for r in got if r.doc_id == 2][0] >= 0.99
+
+
+def test_repeated_items_count_once(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight")], "doc_id long, text string")
+    bench = spark.createDataFrame([(5, "two three four five six seven")] * 40 + [(6, "two three four five six seven")], "item_id long, text string")
+    assert sorted(r.item_id for r in dc.contaminated(docs, bench).collect()) == [5, 6]
+    assert sum(map(len, dc._blocks(bench))) == 2

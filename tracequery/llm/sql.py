@@ -5,7 +5,7 @@ from __future__ import annotations
 from .url_filter import DEPTH, LEAST_PURITY, MANY_CHILDREN, PRIOR, PRIOR_WEIGHT, RARE_SHARE, RULES, Z
 
 MIXING = r"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '') || ':42') as draw from documents),
+with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size, md5(coalesce(doc_id::varchar, '') || ':42:' || coalesce(text, '')) as draw from documents),
 s as (select source, sum(size)::bigint as n, row_number() over (order by source nulls last) - 1 as i from d group by source),
 w as (select source, n, i, case i % 3 when 0 then 3.0 when 1 then 1.0 else 2.0 end::double as wt, 2.0::double * n as cap from s),
 r as (select *, row_number() over o as k, sum(cap) over o as caps, sum(wt) over o as wts, sum(wt) over () as wall, 1.5::double * sum(n) over () as total from w window o as (order by cap / wt, i)),
@@ -14,7 +14,7 @@ z as (select (total - caps + cap) as rest, wall - wts + wt as share from r, f wh
 t as (select source, n, case when k < k0 then cap else (select rest from z) * wt / (select share from z) end as target from r, f),
 q as (select *, case when n > 0 then floor(target / n) else 0 end as whole from t)
 select doc_id, size, n as source_size, target,
- (size * (whole + case when sum(size) over (partition by d.source order by draw) - sum(size) over (partition by d.source, draw) / 2 <= target - whole * n then 1 else 0 end))::bigint as taken
+ (size * (whole + case when sum(size) over (partition by d.source order by draw rows between unbounded preceding and current row) - size / 2 <= target - whole * n then 1 else 0 end))::bigint as taken
 from d join q on d.source is not distinct from q.source
 """
 
@@ -37,15 +37,27 @@ def _levels() -> str:
     out = ""
     for i in range(DEPTH):
         out += f"""
-s{i} as (select * exclude (template), template, parts[{i + 1}] as seg from t{i}),
-c{i} as (select host, template, seg, sum(n) as c from s{i} where seg is not null group by all),
-k{i} as (select host, template, sum(c) as every from c{i} group by all having count(*) > {MANY_CHILDREN}),
-q{i} as (select host, template, seg, true as rare from c{i} join k{i} using (host, template) where c < {RARE_SHARE} * every),
-t{i + 1} as (select host, parts, n, good, bad, case when seg is null then template else template || '/' || case when rare then '*' else seg end end as template
- from s{i} left join q{i} using (host, template, seg)),"""
+s{i} as (select *, parts[{i + 1}] as seg from t{i}),
+c{i} as (select host, node, seg, sum(n) as c from s{i} where seg is not null group by all),
+k{i} as (select host, node, sum(c) as every from c{i} group by all having count(*) > {MANY_CHILDREN}),
+q{i} as (select host, node, seg, true as rare from c{i} join k{i} using (host, node) where c < {RARE_SHARE} * every),
+t{i + 1} as (select host, parts, n, good, bad, case when seg is null then node else list_append(node, case when rare then '*' else seg end) end as node
+ from s{i} left join q{i} using (host, node, seg)),"""
     return out
 
 
+def _purities() -> str:
+    """From the root down: each node's purity, and the prior for its children."""
+    out = f"b0 as (select host, node, (s + {PRIOR * PRIOR_WEIGHT}) / (k + {PRIOR_WEIGHT}) as base, g + b > 0 as host_known from every where len(node) = 0),"
+    for i in range(1, DEPTH + 1):
+        out += f"""
+h{i} as (select every.*, p.base as prior, host_known from every join b{i - 1} p on every.host = p.host and every.node[:{i - 1}] = p.node where len(every.node) = {i}),
+b{i} as (select host, node, (s + {PRIOR_WEIGHT} * prior) / (k + {PRIOR_WEIGHT}) as base, host_known from h{i}),"""
+    rows = " union all ".join(f"select * from h{i}" for i in range(1, DEPTH + 1))
+    return out + f"""
+purities as (select host, node, (mg + {PRIOR_WEIGHT} * prior) / (mg + mb + {PRIOR_WEIGHT}) as purity, case when g + b > 0 then 'template' when host_known then 'branch' else 'none' end as evidence from ({rows})),"""
+
+
 def _rules() -> str:
     rows = []
     for rule, verdict in RULES:
@@ -64,14 +76,21 @@ best as (select r, rule, verdict from w join rules on (host = rule_host or ends_
 p as (select w.*, rule, verdict, list_transform(string_split(regexp_replace(path, '^/', ''), '/'),
  lambda s: case when regexp_matches(s, '(?i)^([0-9a-f]{{8,}}|[0-9a-f-]{{32,36}})$') and regexp_matches(s, '[0-9]') then '{{hash}}' else regexp_replace(s, '[0-9]+', '#', 'g') end) as shaped
  from w left join best using (r)),
-j as materialized (select * exclude (shaped), case when len(shaped) > {DEPTH} then list_append(shaped[1:{DEPTH - 1}], '**') else shaped end as parts from p),
-t0 as (select host, parts, count(*) as n, count(*) filter (verdict = 'allow') as good, count(*) filter (verdict = 'block') as bad, '' as template from j group by host, parts),{_levels()}
-tree as (select host, template, len(string_split(template, '/')) as depth, sum(good) as g, sum(bad) as b from t{DEPTH} group by host, template having sum(good) + sum(bad) > 0),
-hosts as (select *, sum(g) over h as hg, sum(b) over h as hb from tree window h as (partition by host, depth)),
-rates as (select *, g + b as n, hg + hb - g - b as m, hb / (hg + hb) as pooled from hosts),
-merges as (select *, m > 0 and abs(b / n - (hb - b) / greatest(m, 1)) <= {Z} * sqrt(pooled * (1 - pooled) * (1 / n + 1 / greatest(m, 1))) as merged from rates),
-sums as (select *, sum(g) filter (merged) over h as mg, sum(b) filter (merged) over h as mb from merges window h as (partition by host, depth)),
-worst as (select host, template from sums where (case when merged then mg else g end + {PRIOR * PRIOR_WEIGHT}) / (case when merged then mg + mb else g + b end + {PRIOR_WEIGHT}) < {LEAST_PURITY}),
-rejected as (select host, parts, true as rejected from t{DEPTH} semi join worst using (host, template))
-select page_id, host, path, rule, coalesce(verdict, case when rejected then 'block' else 'allow' end) as verdict from j left join rejected using (host, parts)
+j as materialized (select * exclude (shaped), case when len(shaped) > {DEPTH} then list_append(shaped[1:{DEPTH - 1}], array_to_string(shaped[{DEPTH}:], '/')) else shaped end as parts from p),
+t0 as (select host, parts, count(*) as n, count(*) filter (verdict = 'allow') as good, count(*) filter (verdict = 'block') as bad, []::varchar[] as node from j group by host, parts),{_levels()}
+leaves as materialized (select * from t{DEPTH}),
+up as (select host, good, bad, node, unnest(range(0, len(node) + 1)) as l from leaves),
+nodes as materialized (select host, case when l = 0 then []::varchar[] else node[:l] end as node, sum(good)::bigint as g, sum(bad)::bigint as b from up group by all),
+kin as (select *, node[:len(node) - 1] as parent from nodes where len(node) > 0 and g + b > 0),
+beside as (select *, lag(g) over o as pg, lag(b) over o as pb, g + b as n, lag(g) over o + lag(b) over o as m from kin window o as (partition by host, parent order by b / (g + b), node)),
+apart as (select *, coalesce(abs(b / n - pb / m) > {Z} * sqrt((b + pb) / (n + m) * (1 - (b + pb) / (n + m)) * (1 / n + 1 / m)), false)::int as gap from beside),
+branches as (select *, sum(gap) over (partition by host, parent order by b / n, node rows between unbounded preceding and current row) as branch from apart),
+merged as materialized (select host, node, parent, sum(g) over h as mg, sum(b) over h as mb from branches window h as (partition by host, parent, branch)),
+kids as (select host, parent as node, sum(mg / (mg + mb)) as s, count(*) as k from merged group by all),
+every as materialized (select n.host, n.node, g, b, coalesce(s, 0) as s, coalesce(k, 0) as k, coalesce(mg, 0) as mg, coalesce(mb, 0) as mb
+ from nodes n left join kids on n.host = kids.host and n.node = kids.node left join merged on n.host = merged.host and n.node = merged.node),
+{_purities()}
+judged as (select l.host, l.parts, purity, evidence from leaves l join purities p on l.host = p.host and l.node = p.node)
+select page_id, host, path, rule, coalesce(verdict, case when purity < {LEAST_PURITY} then 'block' else 'allow' end) as verdict, purity, case when rule is not null then 'rule' else evidence end as decided_by
+from j left join judged using (host, parts)
 """

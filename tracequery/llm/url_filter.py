@@ -1,11 +1,16 @@
 """URL filter: explicit rules, and a path-template tree learned per host.
 
 Variable path segments (numbers, hashes, numbered names) become wildcards by their form; further ones
-become wildcards where a node of the tree has many rare children. The templates' labelled pages are
-counted, branches of a host whose shares of bad pages do not differ significantly are merged, and a
-template is rejected if its smoothed share of good pages is too low. Only DataFrame functions are used.
-
-The tree is built over distinct templates of a host, not over pages; the rejected ones are joined back.
+become wildcards where a node of the tree has many rare children. Labelled pages are counted at every node.
+Below one parent, branches in the order of their share of bad pages are merged as long as neighbours do not
+differ significantly. A template is rejected if its smoothed share of good pages, its merged branch's counts
+with its parent's purity as the prior, is too low. A parent's purity is the smoothed mean over its labelled
+branches, each counted once, with its own parent's as the prior; so a template without labels is judged by
+its parents and its host, and many bad branches without a good one reject it, a large one alone does not.
+Only DataFrame functions are used.
+
+The tree is built over distinct templates of a host, not over pages. A node has at most ``MANY_CHILDREN``
+children, or the frequent ones (``1 / RARE_SHARE``) and a wildcard, so no window over siblings is large.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import ascii_lower, materialize
 
@@ -26,6 +32,7 @@ RARE_SHARE = 0.05
 PRIOR, PRIOR_WEIGHT = 0.5, 4.0
 LEAST_PURITY = 0.3
 Z = 1.96
+BROADCAST_BYTES = 64 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -58,62 +65,86 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> C
 
 
 def lexical_template(path: Column) -> Column:
-    """Path segments with variable parts replaced by their form; all beyond ``DEPTH`` segments are one."""
+    """Path segments with variable parts replaced by their form; from the ``DEPTH``-th on they are one, whole."""
     parts = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
     shaped = F.transform(
         parts,
         lambda s: F.when(s.rlike(r"^(?i)([0-9a-f]{8,}|[0-9a-f-]{32,36})$") & s.rlike("[0-9]"), F.lit("{hash}")).otherwise(F.regexp_replace(s, r"[0-9]+", "#")),
     )
-    deep = F.size(shaped) > DEPTH
-    return F.when(deep, F.concat(F.slice(shaped, 1, DEPTH - 1), F.array(F.lit("**")))).otherwise(shaped)
+    rest = F.array_join(F.slice(shaped, F.lit(DEPTH), F.greatest(F.size(shaped) - DEPTH + 1, F.lit(0))), "/")
+    return F.when(F.size(shaped) > DEPTH, F.concat(F.slice(shaped, 1, DEPTH - 1), F.array(rest))).otherwise(shaped)
 
 
 def generalise(templates: DataFrame) -> DataFrame:
-    """Adds ``template``: ``parts`` with rare children of crowded nodes as ``*``, level by level from the root."""
-    out = templates.withColumn("template", F.lit(""))
+    """Adds ``node``: ``parts`` with rare children of crowded nodes as ``*``, level by level from the root."""
+    out = templates.withColumn("node", F.array().cast("array<string>"))
     for level in range(DEPTH):
         out = out.withColumn("seg", F.get("parts", F.lit(level)))
-        children = out.where("seg IS NOT NULL").groupBy("host", "template", "seg").agg(F.sum("n").alias("c"))
-        nodes = children.groupBy("host", "template").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > MANY_CHILDREN)
-        rare = children.join(nodes, ["host", "template"]).where(F.col("c") < RARE_SHARE * F.col("all"))
-        rare = rare.select("host", "template", "seg", F.lit(True).alias("rare"))
-        out = out.join(rare, ["host", "template", "seg"], "left")
+        children = out.where("seg IS NOT NULL").groupBy("host", "node", "seg").agg(F.sum("n").alias("c"))
+        nodes = children.groupBy("host", "node").agg(F.sum("c").alias("all"), F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > MANY_CHILDREN)
+        rare = children.join(nodes, ["host", "node"]).where(F.col("c") < RARE_SHARE * F.col("all"))
+        rare = rare.select("host", "node", "seg", F.lit(True).alias("rare"))
+        out = out.join(rare, ["host", "node", "seg"], "left")
         step = F.when(F.col("rare"), F.lit("*")).otherwise(F.col("seg"))
-        out = out.withColumn("template", F.when(F.col("seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), step))).drop("seg", "rare")
+        out = out.withColumn("node", F.when(F.col("seg").isNull(), F.col("node")).otherwise(F.concat("node", F.array(step)))).drop("seg", "rare")
     return out
 
 
-def rejected_templates(judged: DataFrame) -> DataFrame:
-    """``host, parts`` of the lexical templates to reject, from ``judged(host, parts, good)``, good null if unlabelled."""
+def merged_branches(nodes: DataFrame) -> DataFrame:
+    """Labelled nodes below the root with ``mg, mb``, the good and bad pages of all branches they merge with.
+
+    Siblings stand in the order of their share of bad pages; neighbours whose shares do not differ by ``Z``
+    standard errors are one branch.
+    """
+    out = nodes.where("size(node) > 0 AND g + b > 0").withColumn("parent", F.slice("node", F.lit(1), F.size("node") - 1))
+    order = Window.partitionBy("host", "parent").orderBy(F.col("b") / (F.col("g") + F.col("b")), "node")
+    out = out.withColumns({"pg": F.lag("g").over(order), "pb": F.lag("b").over(order)})
+    n, m = F.col("g") + F.col("b"), F.col("pg") + F.col("pb")
+    pooled = (F.col("b") + F.col("pb")) / (n + m)
+    gap, error = F.abs(F.col("b") / n - F.col("pb") / m), F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / m))
+    apart = F.coalesce((gap > Z * error).cast("int"), F.lit(0))
+    out = out.withColumn("branch", F.sum(apart).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    same = Window.partitionBy("host", "parent", "branch")
+    return out.select("host", "node", "parent", F.sum("g").over(same).alias("mg"), F.sum("b").over(same).alias("mb"))
+
+
+def judged_templates(judged: DataFrame) -> DataFrame:
+    """``host, parts, purity, evidence`` of the lexical templates of ``judged(host, parts, good)``, good null if
+    unlabelled. ``evidence`` is ``template`` if the node has labelled pages, ``branch`` if only others of its
+    host have, else ``none``."""
     good, bad = F.col("good"), ~F.col("good")
     leaves = judged.groupBy("host", "parts").agg(F.count(F.lit(1)).alias("n"), F.count_if(good).alias("good"), F.count_if(bad).alias("bad"))
     leaves = materialize(generalise(materialize(leaves, "templates")), "tree")
-    # Without a page against it a template cannot be rejected, merged or not: a merged branch is like its siblings.
-    tree = leaves.groupBy("host", "template").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).where("g + b > 0")
-    tree = tree.withColumn("depth", F.size(F.split("template", "/")))
-    host = tree.groupBy("host", "depth").agg(F.sum("g").alias("hg"), F.sum("b").alias("hb"))
-    tree = tree.join(host, ["host", "depth"])
-    n, m = F.col("g") + F.col("b"), F.col("hg") + F.col("hb") - F.col("g") - F.col("b")
-    pooled = F.col("hb") / (F.col("hg") + F.col("hb"))
-    gap = F.abs(F.col("b") / n - (F.col("hb") - F.col("b")) / F.greatest(m, F.lit(1)))
-    error = F.sqrt(pooled * (1 - pooled) * (1 / n + 1 / F.greatest(m, F.lit(1))))
-    tree = tree.withColumn("merged", (m > 0) & (gap <= Z * error))
-    similar = tree.where("merged").groupBy("host", "depth").agg(F.sum("g").alias("mg"), F.sum("b").alias("mb"))
-    tree = tree.join(similar, ["host", "depth"], "left")
-    g, b = (F.when(F.col("merged"), F.col(x)).otherwise(F.col(y)) for x, y in (("mg", "g"), ("mb", "b")))
-    purity = (g + PRIOR * PRIOR_WEIGHT) / (g + b + PRIOR_WEIGHT)
-    worst = tree.where(purity < LEAST_PURITY).select("host", "template")
-    return leaves.join(worst, ["host", "template"], "left_semi").select("host", "parts")
+    up = leaves.select("host", "good", "bad", "node", F.explode(F.sequence(F.lit(0), F.size("node"))).alias("l"))
+    nodes = up.groupBy("host", F.slice("node", F.lit(1), F.col("l")).alias("node")).agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    merged = merged_branches(nodes)
+    share = F.col("mg") / (F.col("mg") + F.col("mb"))
+    kids = merged.groupBy("host", F.col("parent").alias("node")).agg(F.sum(share).alias("s"), F.count(F.lit(1)).alias("k"))
+    every = nodes.join(kids, ["host", "node"], "left").join(merged.drop("parent"), ["host", "node"], "left")
+    every = materialize(every.na.fill(0, ["s", "k", "mg", "mb"]), "nodes")
+    # From the root down: a node's own purity as its parent's child, and the prior it hands to its children.
+    known = every.where("size(node) = 0").select("host", "node", ((F.col("s") + PRIOR * PRIOR_WEIGHT) / (F.col("k") + PRIOR_WEIGHT)).alias("base"), (F.col("g") + F.col("b") > 0).alias("host_known"))
+    purity = None
+    for level in range(1, DEPTH + 1):
+        above = known.select("host", F.col("node").alias("parent"), F.col("base").alias("prior"), "host_known")
+        here = every.where(F.size("node") == level).withColumn("parent", F.slice("node", F.lit(1), F.lit(level - 1))).join(above, ["host", "parent"])
+        here = here.withColumn("purity", (F.col("mg") + PRIOR_WEIGHT * F.col("prior")) / (F.col("mg") + F.col("mb") + PRIOR_WEIGHT))
+        found = here.select("host", "node", "purity", F.when(F.col("g") + F.col("b") > 0, "template").when(F.col("host_known"), "branch").otherwise("none").alias("evidence"))
+        purity = found if purity is None else purity.unionByName(found)
+        known = here.select("host", "node", ((F.col("s") + PRIOR_WEIGHT * F.col("prior")) / (F.col("k") + PRIOR_WEIGHT)).alias("base"), "host_known")
+    return materialize(leaves.join(purity, ["host", "node"]).select("host", "parts", "purity", "evidence"), "purity")
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: DataFrame | None = None) -> DataFrame:
-    """``page_id, host, path, rule, verdict`` of every row of ``pages(page_id, url)``.
+    """``page_id, host, path, rule, verdict, purity, decided_by`` of every row of ``pages(page_id, url)``.
 
     A rule fits its host and all subdomains if the path starts with the rule's; the longest decides. All
     other urls are judged by their host's template tree, learned from the pages that a rule decides
-    and from ``labelled(page_id, good)`` if given. Null urls and those without ``://`` have an empty host
-    and path and are judged like any other template; repeated rows come back each; an empty table gives
-    an empty result; further columns are ignored.
+    and from ``labelled(page_id, good)`` if given: blocked if the template's ``purity`` is below
+    ``LEAST_PURITY``. ``decided_by`` is ``rule``, or the tree's evidence (see :func:`judged_templates`); a
+    template without any has the prior's purity and is allowed. Null urls and those without ``://`` have an
+    empty host and path and are judged like any other template; repeated rows come back each; an empty table
+    gives an empty result; further columns are ignored.
     """
     cols = pages.select(F.col("page_id").cast("long").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     cols = cols.withColumn("best", best_rule(F.col("host"), F.col("path"), rules)).withColumn("parts", lexical_template(F.col("path")))
@@ -121,6 +152,10 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, label
     if labelled is not None:
         known = labelled.groupBy(F.col("page_id").cast("long").alias("page_id")).agg(F.min("good").alias("known"))
         judged = judged.join(known, "page_id", "left").withColumn("good", F.coalesce("good", "known"))
-    bad = rejected_templates(judged).withColumn("rejected", F.lit(True))
-    method = F.when(F.col("rejected"), F.lit("block")).otherwise(F.lit("allow"))
-    return cols.join(bad, ["host", "parts"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", method).alias("verdict"))
+    tree = judged_templates(judged)
+    # A row per distinct template; broadcast where their texts are few bytes, else joined by a shuffle.
+    size = tree.agg(F.sum(F.length("host") + F.length(F.array_join("parts", "/")) + 64)).first()[0] or 0
+    tree = F.broadcast(tree) if size <= BROADCAST_BYTES else tree
+    method = F.when(F.col("purity") < LEAST_PURITY, F.lit("block")).otherwise(F.lit("allow"))
+    decided = F.when(F.col("best").isNotNull(), "rule").otherwise(F.col("evidence"))
+    return cols.join(tree, ["host", "parts"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", method).alias("verdict"), "purity", decided.alias("decided_by"))
