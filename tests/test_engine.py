@@ -6,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tracequery.operators import chat, compare, curves, fingerprint, generate, metrics, splits, state
+from tracequery import cli, scratch
+from tracequery.operators import chat, compare, curves, fingerprint, generate, metrics, ordering, splits, state
 from tracequery.plans import runs
 from tracequery.policies import RunConfig, SplitSpec, slugify
 from tracequery.sources import files, logs, sinks
@@ -132,9 +133,9 @@ def test_missing_log_and_repair(spark, tmp_path):
 
 def test_documents_and_manifest(spark, tmp_path):
     p = str(tmp_path / "m.json")
-    assert sinks.write_or_verify({"a": 1}, p) and not sinks.write_or_verify({"a": 1}, p)
+    assert sinks.write_or_verify(spark, {"a": 1}, p) and not sinks.write_or_verify(spark, {"a": 1}, p)
     with pytest.raises(ValueError):
-        sinks.write_or_verify({"a": 2}, p)
+        sinks.write_or_verify(spark, {"a": 2}, p)
     with pytest.raises(ValueError):
         files.read_document(spark, p, "exact_match_accuracy double")
     rows = [{"question": "é", "answer": "1"}, {"question": "b", "answer": None}]
@@ -156,17 +157,22 @@ def test_merged_summaries_keep_the_first_teacher(spark):
 def test_runs_resume_and_reject_duplicates(spark):
     problems = spark.createDataFrame([(f"p{i}", i, f"what is {i} + {i}", str(2 * i)) for i in range(6)], "problem_id string, source_index long, question string, gold_answer string")
 
+    calls = spark.sparkContext.accumulator(0)
+
     def make():
         def reply(text, seed):
-            i = int(text.split()[3])
+            i = int(text.split()[-3])
             told = 1 if i < 2 else i
+            calls.add(1)
             return f"<reasoning>Step 1: we take {told} and add it.\nStep 2: {told} + {told} = {2 * told} is then the sum.</reasoning>\n<final_answer>{2 * i}</final_answer>"
 
         return generate.StubBackend(reply)
 
     first = runs.produce_run(problems, None, make, attempts=2).withColumn("event_seq", F.col("source_index"))
     got = {r.problem_id: r for r in first.collect()}
-    assert got["p0"].status == "accepted" and got["p1"].validation_errors == ["duplicate_reasoning_output"] and got["p5"].lifetime_attempts == 2
+    assert got["p0"].status == "accepted" and got["p1"].validation_errors == ["duplicate_reasoning_output"] and (got["p5"].lifetime_attempts, got["p1"].lifetime_attempts) == (1, 2)
+    # One call for each of six problems, and one more for the one whose output repeats another's.
+    assert calls.value == 7
     again = runs.produce_run(problems, first, make, attempts=1)
     assert [(r.problem_id, r.generation_round) for r in again.collect()] == [("p1", 2)]
     graded = runs.evaluate_run(problems, None, make)
@@ -206,3 +212,105 @@ def test_sources(spark, tmp_path):
     (tmp_path / "conv.jsonl").write_text(json.dumps({"messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}]}) + "\n" + json.dumps({"messages": []}) + "\n")
     with pytest.raises(ValueError, match="line 2"):
         logs.read_conversations(spark, str(tmp_path / "conv.jsonl"), "messages array<struct<role:string,content:string>>")
+
+
+def test_valid_first_attempts_are_one_call_each(spark):
+    problems = spark.createDataFrame([(f"p{i}", i, f"what is {i} + {i}", str(2 * i)) for i in range(10)], "problem_id string, source_index long, question string, gold_answer string")
+    calls = spark.sparkContext.accumulator(0)
+
+    def make():
+        def reply(text, seed):
+            calls.add(1)
+            assert text.startswith("Question:\n")
+            i = int(text.split()[-1])
+            return f"<reasoning>Step 1: we take {i} and add it.\nStep 2: {i} + {i} = {2 * i} is then the sum.</reasoning>\n<final_answer>{2 * i}</final_answer>"
+
+        return generate.StubBackend(reply)
+
+    out = runs.produce_run(problems, None, make)
+    assert {(r.status, r.attempts) for r in out.collect()} == {("accepted", 1)} and calls.value == 10
+    again = runs.produce_run(problems, out.withColumn("event_seq", F.col("source_index")), make)
+    assert again.collect() == [] and calls.value == 10
+
+
+@pytest.mark.parametrize("parts", [4, 8, 200])
+def test_rows_are_numbered_alike_by_any_number_of_parts(spark, parts):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        df = spark.range(5000).select(F.expr("id * 7919 % 5000").alias("k"), F.expr("CASE WHEN id % 3 = 0 THEN 1 ELSE id END").alias("tied"), F.expr("CASE WHEN id % 10 > 0 THEN id END").alias("gaps")).repartition(7)
+        rows = ordering.number_rows(df, "k").collect()
+        assert all(r.row_no == r.k for r in rows)
+        rows = ordering.number_rows(df, "tied").orderBy("row_no").collect()
+        assert [r.row_no for r in rows] == list(range(5000)) and [r.tied for r in rows] == sorted(r.tied for r in rows)
+        rows = ordering.number_rows(df, F.desc("gaps")).orderBy("row_no").collect()
+        assert [r.gaps for r in rows] == sorted((r.gaps for r in rows if r.gaps is not None), reverse=True) + [None] * 500
+        ids = F.sequence(F.lit(1), F.col("k") % 40 + 1)
+        out = chat.pad_batches(df.select("k", ids.alias("input_ids"), ids.alias("attention_mask"), ids.alias("labels")), 4, "k").groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("k"), F.countDistinct(F.size("labels")).alias("w"), F.max(F.size("labels")).alias("width")).collect()
+        assert len(out) == 1250 and all((r.n, r.k, r.w, r.width) == (4, 4 * r.batch, 1, -(-((4 * r.batch + 3) % 40 + 1) // 8) * 8) for r in out)
+        assert ordering.number_rows(df.limit(0), "k").collect() == []
+        place = ordering.position_within(df.withColumn("g", F.col("k") % 3), "g", "k").collect()
+        assert all(r.position == r.k // 3 + 1 for r in place)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_folders_are_swapped_whole(spark, tmp_path):
+    p = str(tmp_path / "f")
+    for n in (3, 5):
+        sinks.replace_folder(spark.range(n), p, "parquet")
+        assert spark.read.parquet(p).count() == n
+    assert [x.name for x in tmp_path.iterdir()] == ["f"]
+    sinks.write_text(spark, "é", f"{p}.txt")
+    sinks.write_text(spark, "new", f"{p}.txt")
+    assert sinks.read_text(spark, f"{p}.txt") == "new" and sinks.read_text(spark, f"{p}.none") is None
+    with pytest.raises(Exception):
+        sinks._swap_in(spark, f"{p}.missing", p)
+    assert spark.read.parquet(p).count() == 5
+
+
+def test_scratch_tables_are_recorded_and_removed(spark):
+    with scratch.recorded() as made:
+        kept = scratch.materialize(spark.range(3), "a")
+        other = scratch.materialize(spark.range(4), "b")
+    assert len(made) == 2 and kept.count() == 3
+    scratch.remove(spark, made[1:])
+    with pytest.raises(Exception):
+        other.count()
+    assert kept.count() == 3
+
+
+def test_command_line(spark, tmp_path):
+    p = tmp_path / "predictions.jsonl"
+    rows = [{"problem_id": f"p{i}", "question": "Count 30", "gold_answer": "30", "raw_output": "", "reasoning": "Step 1: a\nStep 2: b\nStep 3: c", "predicted_answer": str(30 + i), "is_correct": i == 0, "is_valid_format": True, "is_truncated": False} for i in range(6)]
+    p.write_text("".join(json.dumps(r) + "\n" for r in rows))
+    cli.main(["compare", "--predictions-a", str(p), "--predictions-b", str(p), "--output", str(tmp_path / "mcnemar.json")])
+    got = json.loads((tmp_path / "mcnemar.json").read_text())
+    assert (got["shared_n"], got["both_correct"], got["overlap_warning"], got["p_value"]) == (6, 1, False, 1.0)
+    for n, acc in (("before", 0.25), ("after", 0.5)):
+        (tmp_path / f"{n}.json").write_text(json.dumps({"model": "m", "exact_match_accuracy": acc}))
+    cli.main(["table", "--before-metrics", str(tmp_path / "before.json"), "--after-metrics", str(tmp_path / "after.json"), "--output", str(tmp_path / "summary")])
+    assert [r.condition for r in files.read_csv(spark, str(tmp_path / "summary")).collect()] == ["before", "after"]
+    cli.main(["plot", "--before-metrics", str(tmp_path / "before.json"), "--after-metrics", str(tmp_path / "after.json"), "--output", str(tmp_path / "bars.svg")])
+    assert (tmp_path / "bars.svg").read_text().count("<rect") == 2
+    cli.main(["merge", "--summaries", str(tmp_path / "summary"), "--output", str(tmp_path / "merged")])
+    assert files.read_csv(spark, str(tmp_path / "merged")).count() == 2
+    cli.main(["classify", "--predictions", str(p), "--output", str(tmp_path / "errors")])
+    assert json.loads((tmp_path / "errors" / "summary.json").read_text())["counts"]["off_by_one"] == 1
+    problems = tmp_path / "problems.jsonl"
+    problems.write_text("".join(json.dumps({"problem_id": f"p{i}", "source_index": i, "question": "x" * i, "gold_answer": str(i)}) + "\n" for i in range(4)))
+    cli.main(["evaluate", "--problems", str(problems), "--model", "stub", "--output-dir", str(tmp_path / "out")])
+    cli.main(["evaluate", "--problems", str(problems), "--model", "stub", "--output-dir", str(tmp_path / "out")])
+    documents = list((tmp_path / "out").glob("*_metrics.json"))
+    assert len(documents) == 1 and json.loads(documents[0].read_text())["total_examples"] == 4
+    rejected = tmp_path / "rejected.jsonl"
+    text = "<reasoning>Step 1: we pay $3 * $4 for all of it.\nStep 2: that is $3 * $4 = $12 in all for them.</reasoning>\n<final_answer>12</final_answer>"
+    rejected.write_text(json.dumps({"problem_id": "p1", "gold_answer": "12", "raw_output": text, "is_correct": True, "teacher_reasoning": "pay $3 * $4", "validation_errors": ["reasoning_lacks_calculation_detail"]}) + "\n")
+    cli.main(["rescue", "--rejected", str(rejected), "--output", str(tmp_path / "rescued"), "--dry-run"])
+    assert not (tmp_path / "rescued").exists()
+    cli.main(["rescue", "--rejected", str(rejected), "--output", str(tmp_path / "rescued")])
+    assert spark.read.json(str(tmp_path / "rescued")).first().status == "accepted"
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "loss").write_text("1 0.5 10\n2 0.4 20\n3 0.6 30\n")
+    cli.main(["curves", "--metrics", str(tmp_path / "m"), "--panel", "loss=train", "--output", str(tmp_path / "curves.svg")])
+    assert "<polyline" in (tmp_path / "curves.svg").read_text()

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .text import present, strip, tag
+from .text import let, present, strip, tag
 
 #: A mixed number, a fraction, or a decimal or scientific number; fixed values.
 STRICT = (
@@ -24,6 +24,7 @@ CANDIDATE = (
     r"|[+-]?\d+\s*/\s*[+-]?\d+%?"
     r"|[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?%?"
 )
+#: An answer phrase, an equation and a number in the error rules; fixed values.
 PHRASE = r"(?:final\s+answer|answer)\s*(?:is|:|=)\s*([^\n<]+)"
 EQUATION = r"(-?\d[\d,]*(?:\.\d+)?)\s*([+\-*/x×])\s*(-?\d[\d,]*(?:\.\d+)?)\s*=\s*(-?\d[\d,]*(?:\.\d+)?)"
 NUMBER = r"-?\d[\d,]*(?:\.\d+)?"
@@ -72,11 +73,17 @@ def loose_answer(c: Column) -> Column:
 def committed_answer(c: Column) -> Column:
     """The evaluator's fallback as struct (answer, ambiguous): a phrase or a sentence that names two numbers
     does not commit to one."""
-    found = candidates(phrase(c))
     either = c.rlike(rf"(?i)(?:{CANDIDATE})\s+or\s+(?:{CANDIDATE})")
-    ambiguous = F.coalesce((F.size(found) > 1) | ((F.size(found) < 1) & either), F.lit(False))
-    answer = F.when(~ambiguous, F.when(F.size(found) == 1, tidy(F.try_element_at(found, F.lit(1)))).otherwise(last_number(c)))
-    return F.struct(answer.alias("answer"), ambiguous.alias("ambiguous"))
+
+    def judged(found: Column) -> Column:
+        several = F.coalesce((F.size(found) > 1) | ((F.size(found) < 1) & either), F.lit(False))
+        return F.struct(found.alias("found"), several.alias("ambiguous"))
+
+    def settled(s: Column) -> Column:
+        one = F.when(F.size(s["found"]) == 1, tidy(F.try_element_at(s["found"], F.lit(1)))).otherwise(last_number(c))
+        return F.struct(F.when(~s["ambiguous"], one).alias("answer"), s["ambiguous"].alias("ambiguous"))
+
+    return let(let(candidates(phrase(c)), judged), settled)
 
 
 _PLAIN = r"\A[+-]?\d{1,18}(?:\.\d{0,18})?\z"
@@ -131,14 +138,15 @@ def decimal_value(c: Column) -> Column:
     return F.when(t.rlike(_PLAIN), t.try_cast("decimal(38,18)"))
 
 
-def same_number(a: Column, b: Column, arrow: bool = True) -> Column:
-    """True if both texts are numbers of exactly equal value.
+def same_number(a: Column, b: Column, arrow: bool = True, stripped: bool = False) -> Column:
+    """True if both texts are numbers of exactly equal value. ``stripped`` says that they have no white space
+    around them, which spares looking for it.
 
     Plain decimals, and a fraction of integers against an integer or fraction, are compared in the JVM.
     With ``arrow``, all other forms (percent, mixed, scientific, long) go through :func:`rational`, which
     sees null for the rows that are settled; without it they count as different unless the texts are equal.
     """
-    x, y = strip(a), strip(b)
+    x, y = (a, b) if stripped else (strip(a), strip(b))
 
     def part(t: Column, group: int, whole: Column) -> Column:
         return F.when(t.rlike(_FRACTION), F.regexp_extract(t, _FRACTION, group).try_cast("decimal(19,0)")).when(t.rlike(r"\A[+-]?\d{1,15}\z"), whole)
@@ -170,6 +178,16 @@ def numbers(c: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(c, F.lit(f"({NUMBER})"), F.lit(1)), F.array().cast("array<string>"))
 
 
+def unused_numbers(question: Column, text: Column, common: tuple[str, ...] = ("1", "2")) -> Column:
+    """Distinct numbers of a question, as written, that a text does not have; ``common`` ones do not count."""
+    return F.array_except(F.array_except(numbers(question), numbers(text)), F.array(*map(F.lit, common)))
+
+
+def far_values(values: Column, known: Column, tolerance: float = 1e-6) -> Column:
+    """Distinct values that are further than ``tolerance`` from all known ones."""
+    return F.array_distinct(F.filter(values, lambda v: F.forall(known, lambda x: F.abs(v - x) > tolerance)))
+
+
 def equations(c: Column) -> Column:
     """Every ``a op b = c`` as an array of struct (a, op, b, c, value); value is what the left side gives."""
     sides = F.arrays_zip(*[F.regexp_extract_all(c, F.lit(EQUATION), F.lit(g)).alias(n) for g, n in enumerate("aobc", 1)])

@@ -5,10 +5,14 @@ White space follows Python's notion (Unicode white space and U+001C to U+001F) u
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)[\s\x1c-\x1f]"
+#: White space that ends no line.
+SPACE_IN_LINE = r"(?U)[\s\x1f&&[^\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]]"
 #: Line ends: CR LF, LF, VT, FF, CR, U+001C to U+001E, NEL, LS and PS.
 LINE_END = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 
@@ -25,6 +29,11 @@ def staged(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     return made.select(*own, F.inline(F.array(F.struct(*[F.col(f"__s{i}").alias(n) for i, n in enumerate(cols)]))))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
 
@@ -50,8 +59,7 @@ def word_count(c: Column) -> Column:
 
 def tag(c: Column, name: str) -> Column:
     """Stripped content of the first complete tag pair, in either case; null without one."""
-    pair = rf"(?is)<{name}>(.*?)</{name}>"
-    return F.when(c.rlike(pair), strip(F.regexp_extract(c, pair, 1)))
+    return strip(F.try_element_at(F.regexp_extract_all(c, F.lit(rf"(?is)<{name}>(.*?)</{name}>"), F.lit(1)), F.lit(1)))
 
 
 def tag_structure(c: Column) -> Column:
@@ -61,27 +69,30 @@ def tag_structure(c: Column) -> Column:
     are well formed but cross, nest or stand in the wrong order, both count as malformed.
     """
 
-    def at(mark: str) -> Column:
-        return F.regexp_instr(c, F.lit(f"(?i){mark}"))
+    marks = {"ro": "<reasoning>", "rc": "</reasoning>", "fo": "<final_answer>", "fc": "</final_answer>"}
+    seen = [F.regexp_count(c, F.lit(f"(?i){m}")).alias(f"n_{k}") for k, m in marks.items()]
+    seen += [F.regexp_instr(c, F.lit(f"(?i){m}")).alias(f"at_{k}") for k, m in marks.items()]
 
-    def n(mark: str) -> Column:
-        return F.regexp_count(c, F.lit(f"(?i){mark}"))
+    def states(m: Column) -> Column:
+        def of(x: str) -> list[Column]:
+            opens, closes = m[f"n_{x}o"], m[f"n_{x}c"]
+            missing = (opens == 0) & (closes == 0)
+            bad = ~missing & ((opens != 1) | (closes != 1) | (m[f"at_{x}o"] > m[f"at_{x}c"]))
+            return [missing.alias(f"{x}_missing"), bad.alias(f"{x}_bad")]
 
-    def flags(name: str) -> tuple[Column, Column]:
-        opens, closes = n(f"<{name}>"), n(f"</{name}>")
-        missing = (opens == 0) & (closes == 0)
-        return missing, ~missing & ((opens != 1) | (closes != 1) | (at(f"<{name}>") > at(f"</{name}>")))
+        # With one pair each, the answer must open after the reasoning has closed.
+        return F.struct(*of("r"), *of("f"), (m["at_fo"] < m["at_rc"]).alias("wrong"))
 
-    (r_missing, r_bad), (f_missing, f_bad) = flags("reasoning"), flags("final_answer")
-    # With one pair each, the answer must open after the reasoning has closed.
-    wrong = at("<final_answer>") < at("</reasoning>")
-    crossed = ~r_missing & ~f_missing & ~r_bad & ~f_bad & wrong
-    return F.struct(
-        r_missing.alias("reasoning_missing"),
-        f_missing.alias("final_missing"),
-        (r_bad | crossed).alias("reasoning_malformed"),
-        (f_bad | crossed).alias("final_malformed"),
-    )
+    def flags(s: Column) -> Column:
+        crossed = ~s["r_missing"] & ~s["f_missing"] & ~s["r_bad"] & ~s["f_bad"] & s["wrong"]
+        return F.struct(
+            s["r_missing"].alias("reasoning_missing"),
+            s["f_missing"].alias("final_missing"),
+            (s["r_bad"] | crossed).alias("reasoning_malformed"),
+            (s["f_bad"] | crossed).alias("final_malformed"),
+        )
+
+    return let(let(F.struct(*seen), states), flags)
 
 
 def outside_tags(c: Column) -> Column:
@@ -93,7 +104,8 @@ def outside_tags(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines that are not blank, in lower case with white space collapsed."""
-    return F.filter(F.transform(F.split(F.lower(c), LINE_END), lambda x: collapse(strip(x))), lambda x: F.length(x) > 0)
+    # White space other than line ends is collapsed in the whole text at once; blanks are left at the ends of lines.
+    return F.filter(F.transform(F.split(F.regexp_replace(F.lower(c), f"{SPACE_IN_LINE}+", " "), LINE_END), F.trim), lambda x: F.length(x) > 0)
 
 
 def sentences(c: Column, least: int = 12) -> Column:
@@ -105,12 +117,16 @@ def sentences(c: Column, least: int = 12) -> Column:
 def repeated_more_than(items: Column, most: int) -> Column:
     """True if some item occurs more than ``most`` times.
 
-    Equal items are neighbours once sorted, and an item with k others like it stands k places before one of
-    them, so one sort and one pass settle it however many items there are.
+    Equal items are neighbours once sorted, so one sort and one pass that counts runs settle it however many
+    items there are. ``items`` is evaluated once. Null items never repeat; a null array has no items.
     """
-    ordered = F.array_sort(items)
-    shifted = F.slice(ordered, F.lit(most + 1), F.greatest(F.size(ordered) - most, F.lit(0)))
-    return F.when(F.size(items) <= most, F.lit(False)).otherwise(F.exists(F.arrays_zip(ordered.alias("a"), shifted.alias("b")), lambda p: F.coalesce(p["a"] == p["b"], F.lit(False))))
+    start = F.struct(F.lit(None).cast("string").alias("item"), F.lit(0).alias("run"), F.lit(False).alias("hit"))
+
+    def step(s: Column, item: Column) -> Column:
+        same = F.coalesce(s["item"] == item, F.lit(False))
+        return F.struct(item.alias("item"), F.when(same, s["run"] + 1).otherwise(1).alias("run"), (s["hit"] | (same & (s["run"] >= most))).alias("hit"))
+
+    return F.coalesce(F.aggregate(F.sort_array(items), start, step, lambda s: s["hit"]), F.lit(False))
 
 
 def numbered_steps(c: Column) -> Column:

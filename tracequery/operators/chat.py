@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..policies import ANSWER_ONLY_PROMPT, SYSTEM_PROMPT, USER_PREFIX
+from .ordering import number_rows
 from .validation import student_target
 
 IGNORED = -100
@@ -59,12 +60,16 @@ def build_messages(df: DataFrame, answer_only: bool = False) -> DataFrame:
     return out.withColumn("chat", F.concat(prompt(F.col("q"), system), F.array(message("assistant", said)))).drop("q", "r", "a", "target")
 
 
+def ends_with_assistant(messages: Column) -> Column:
+    """Two messages or more, the last of them the assistant's."""
+    return F.coalesce((F.size(messages) >= 2) & (F.try_element_at(messages, F.lit(-1))["role"] == "assistant"), F.lit(False))
+
+
 def prompt_completion(messages: Column) -> Column:
     """Struct (prompt, completion): all messages but the last, and the last. Fewer than two messages, or a last
     one that is not the assistant's, is an error."""
     n = F.size(messages)
-    fine = F.coalesce((n >= 2) & (F.try_element_at(messages, F.lit(-1))["role"] == "assistant"), F.lit(False))
-    checked = F.when(fine, messages).otherwise(F.raise_error(F.lit("a conversation must end with an assistant message")).cast("array<struct<role:string,content:string>>"))
+    checked = F.when(ends_with_assistant(messages), messages).otherwise(F.raise_error(F.lit("a conversation must end with an assistant message")).cast("array<struct<role:string,content:string>>"))
     return F.struct(F.slice(checked, F.lit(1), n - 1).alias("prompt"), F.slice(checked, F.lit(-1), F.lit(1)).alias("completion"))
 
 
@@ -101,24 +106,16 @@ def token_counts(labels: Column) -> tuple[Column, Column]:
 def pad_batches(df: DataFrame, batch: int, order: str, multiple: int = 8, pad: int = 0) -> DataFrame:
     """Pads ids, mask and labels to the longest row of each batch, rounded up to ``multiple``.
 
-    Rows are numbered without a global sort in one task: rows are range-partitioned by ``order``, counted
-    per partition, and numbered within.
+    Rows are numbered by :func:`.ordering.number_rows`, without a sort in one task.
     """
-    # Each part of the range numbers its own rows; the parts before it are added from one count per part. A
-    # fixed number of parts keeps the planner from merging them differently in the two uses.
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, F.col(order)).withColumn("__p", F.spark_partition_id())
-    counts = parts.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select(F.col("__p"), (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
-    numbered = parts.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(order))).join(F.broadcast(before), "__p")
-    out = numbered.withColumn("batch", F.floor((F.col("__i") + F.col("__before") - 1) / batch))
+    out = number_rows(df, order, into="__i").withColumn("batch", F.floor(F.col("__i") / batch))
     most = F.max(F.size("input_ids")).over(Window.partitionBy("batch"))
     out = out.withColumn("width", (F.ceil(most / multiple) * multiple).cast("int"))
 
     def padded(name: str, fill: int) -> Column:
         return F.concat(name, F.array_repeat(F.lit(fill), F.col("width") - F.size(name)))
 
-    return out.withColumns({"input_ids": padded("input_ids", pad), "attention_mask": padded("attention_mask", 0), "labels": padded("labels", IGNORED)}).drop("__p", "__i", "__before", "__n")
+    return out.withColumns({"input_ids": padded("input_ids", pad), "attention_mask": padded("attention_mask", 0), "labels": padded("labels", IGNORED)}).drop("__i")
 
 
 def tokenize(df: DataFrame, column: str, encode: Callable[[], Callable[[str], list[int]]], into: str = "ids") -> DataFrame:

@@ -32,6 +32,14 @@ def contingency(pairs: DataFrame) -> DataFrame:
     )
 
 
+def overlap_of(a: DataFrame, b: DataFrame, key: str = "problem_id") -> DataFrame:
+    """``n_records_a, n_records_b, shared_n, overlap_warning`` of two runs: distinct ids of each, those that both have,
+    and whether either has ids that the other lacks, so that a paired test leaves them out."""
+    ids = a.where(F.col(key).isNotNull()).groupBy(key).agg(F.lit(1).alias("a")).join(b.where(F.col(key).isNotNull()).groupBy(key).agg(F.lit(1).alias("b")), key, "full_outer")
+    out = ids.agg(F.count("a").alias("n_records_a"), F.count("b").alias("n_records_b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("shared_n"))
+    return out.withColumn("overlap_warning", F.col("shared_n") < F.least("n_records_a", "n_records_b"))
+
+
 def transition(a: Column, b: Column) -> Column:
     return F.when(~a & b, "improvement").when(a & ~b, "regression").when(a, "same_correct").otherwise("same_wrong")
 

@@ -20,14 +20,14 @@ def wrong_but_valid(df: DataFrame) -> DataFrame:
 
 
 def classify(df: DataFrame, target: str | None = None) -> DataFrame:
-    """Adds ``label`` from question, reasoning, gold_answer and predicted_answer; ``target`` names a column with
-    the training target, without which the overlap rule never matches."""
+    """Adds ``label`` and ``evidence``, what the rule saw, from question, reasoning, gold_answer and
+    predicted_answer; ``target`` names a column with the training target, without which the overlap rule never matches."""
     q, r = F.coalesce("question", F.lit("")), F.coalesce("reasoning", F.lit(""))
     out = T.staged(df, {
         "__gold": N.lenient_float(F.col("gold_answer")),
         "__pred": N.lenient_float(F.col("predicted_answer")),
         "__eq": N.equations(r),
-        "__wrong": F.size(N.wrong_equations(r)),
+        "__wrong": N.wrong_equations(r),
         "__steps": T.named_steps(r),
         "__qn": N.numbers(q),
         "__rn": N.numbers(r),
@@ -54,21 +54,38 @@ def classify(df: DataFrame, target: str | None = None) -> DataFrame:
 
     hallucinated = (F.size("__qn") > 0) & (F.size(F.array_distinct(F.filter("__rn", invented))) >= 3) & (steps >= 4)
     dropped = (F.regexp_count(asked, F.lit(r"\b(then|after|next|finally|remaining|left)\b")) >= 2) & (F.size("__eq") <= 1) & (steps <= 3)
+    def number(c):
+        """A double as short as it goes: whole numbers without a point."""
+        return F.when(c == F.floor(c), F.format_string("%.0f", c)).otherwise(F.regexp_replace(F.format_string("%.4f", c), r"\.?0+$", ""))
+
+    def of(text, *parts):
+        return F.format_string(text, *[F.coalesce(p.cast("string"), F.lit("none")) for p in parts])
+
+    unused_numbers = F.array_sort(F.array_except(F.array_except("__qn", "__rn"), F.array(F.lit("1"), F.lit("2"))))
+    hints = F.filter(F.array(
+        F.when(tip, F.lit("tip alone for the total")), F.when(each, F.lit("twice the amount of each")), F.when(left, F.lit("far from what remains")),
+        F.when(unused, F.concat(F.lit("numbers of the question not used: "), F.array_join(F.slice(unused_numbers, 1, 5), ", "))),
+    ), lambda x: x.isNotNull())
+    mistakes = F.transform(F.slice("__wrong", 1, 3), lambda e: F.concat(e["a"], e["op"], e["b"], F.lit("="), number(e["c"]), F.lit(" (gives "), number(e["value"]), F.lit(")")))
+    made_up = F.slice(F.array_sort(F.array_distinct(F.filter("__rn", invented))), 1, 6)
     rules = [
-        ("correct_reasoning_wrong_extraction", extraction),
-        ("off_by_one", F.abs(F.abs(pred - gold) - 1) < 1e-6),
-        ("unit_error", scaled),
-        ("arithmetic_mistake", F.col("__wrong") > 0),
-        ("premature_answer", (steps <= 2) & both),
-        ("misunderstood_question", misread),
-        ("wrong_operation", operation),
-        ("hallucinated_reasoning", hallucinated),
-        ("dropped_intermediate_step", dropped),
+        ("correct_reasoning_wrong_extraction", extraction, of("last equation gives %s, as asked; answered %s", number(last), F.col("predicted_answer"))),
+        ("off_by_one", F.abs(F.abs(pred - gold) - 1) < 1e-6, of("answered %s for %s", number(pred), number(gold))),
+        ("unit_error", scaled, of("answer is %s times the right one", number(ratio))),
+        ("arithmetic_mistake", F.size("__wrong") > 0, F.array_join(mistakes, "; ")),
+        ("premature_answer", (steps <= 2) & both, of("%s steps only", steps)),
+        ("misunderstood_question", misread, F.array_join(F.slice(hints, 1, 3), "; ")),
+        ("wrong_operation", operation, of("answer is %s times the right one", number(ratio))),
+        ("hallucinated_reasoning", hallucinated, F.concat(F.lit("numbers from nowhere: "), F.array_join(made_up, ", "))),
+        ("dropped_intermediate_step", dropped, of("a question of many parts, but %s equations and %s steps", F.size("__eq"), steps)),
     ]
     if target:
-        rules.append(("copied_irrelevant_teacher_pattern", (T.overlap(F.col(target), r) < 0.05) & (steps >= 6)))
-    label = F.coalesce(*[F.when(F.coalesce(on, no), F.lit(name)) for name, on in rules], F.lit("other"))
-    return T.staged(out, {"label": label}).drop("__gold", "__pred", "__eq", "__wrong", "__steps", "__qn", "__rn", "__ql")
+        shared = T.overlap(F.col(target), r)
+        rules.append(("copied_irrelevant_teacher_pattern", (shared < 0.05) & (steps >= 6), of("shares %s of the target's words", number(shared))))
+    # One struct a rule, so that each is looked at once.
+    found = F.coalesce(*[F.when(F.coalesce(on, no), F.struct(F.lit(name).alias("label"), why.alias("evidence"))) for name, on, why in rules], F.struct(F.lit("other").alias("label"), F.lit("no rule matches").alias("evidence")))
+    out = T.staged(out, {"__found": found}).withColumns({"label": F.col("__found.label"), "evidence": F.col("__found.evidence")})
+    return out.drop("__found", "__gold", "__pred", "__eq", "__wrong", "__steps", "__qn", "__rn", "__ql")
 
 
 def class_counts(labelled: DataFrame) -> DataFrame:

@@ -24,9 +24,9 @@ def grade(df: DataFrame, raw: str = "raw_output", gold: str = "gold_answer", tru
     many = F.coalesce(F.size("__c") > 1, F.lit(False))
     answer = F.when(tagged, F.when(~many, N.tidy(F.try_element_at("__c", F.lit(1))))).otherwise(F.col("__fall.answer"))
     out = T.staged(out, {"predicted_answer": answer, "__amb": F.when(tagged, many).otherwise(F.col("__fall.ambiguous"))})
-    gold_text = N.normalized(F.col(gold))
     found = F.col("predicted_answer").isNotNull()
-    out = T.staged(out, {"is_correct": found & N.same_number(N.normalized(F.col("predicted_answer")), gold_text, arrow)})
+    out = T.staged(out, {"__a": N.normalized(F.col("predicted_answer")), "__g": N.normalized(F.col(gold))})
+    out = T.staged(out, {"is_correct": found & N.same_number(F.col("__a"), F.col("__g"), arrow, stripped=True)})
     cut = F.coalesce(F.col(truncated), F.lit(False)) if truncated else F.lit(False)
     failed = F.col(error).isNotNull() if error else F.lit(False)
     flags = {
@@ -52,7 +52,7 @@ def grade(df: DataFrame, raw: str = "raw_output", gold: str = "gold_answer", tru
         "is_correct_and_valid": F.col("is_correct") & valid,
         "is_truncated": cut,
     })
-    return out.drop("__raw", "__tags", "__r", "__f", "__c", "__fall", "__amb")
+    return out.drop("__raw", "__tags", "__r", "__f", "__c", "__fall", "__amb", "__a", "__g")
 
 
 def training_score(text: Column, gold: Column, answer_only: bool = False) -> Column:

@@ -85,6 +85,16 @@ def metrics_document(df: DataFrame, *by: str) -> DataFrame:
     return out.withColumn("failure_reason_counts", counts).drop(*FAILURE_REASONS)
 
 
+def distinct_tags(df: DataFrame, tags: str = "validation_errors") -> DataFrame:
+    """``reason`` of every tag that some row has."""
+    return df.select(F.explode(tags).alias("reason")).distinct()
+
+
+def distinct_ids(df: DataFrame, key: str = "problem_id") -> DataFrame:
+    """``ids, n``: distinct ids and rows."""
+    return df.agg(F.countDistinct(key).alias("ids"), F.count(F.lit(1)).alias("n"))
+
+
 def subset_metrics(state: DataFrame, candidates: int, *by: str) -> DataFrame:
     """Accepted and rejected rows, lifetime totals, throughput and acceptance of an event log's latest state."""
     seconds, tokens = F.sum("lifetime_elapsed_seconds"), F.coalesce(F.sum("lifetime_completion_tokens"), F.lit(0))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import normalized_question
 from ..policies import SplitSpec
+from ..sources.sinks import read_json, replace_folder, write_json
+from .ordering import number_rows
 
 MOST_GROUPS = 5_000_000
 
@@ -43,8 +46,40 @@ def seeded_split(problems: DataFrame, spec: SplitSpec = SplitSpec()) -> DataFram
     random.Random(spec.seed).shuffle(order)
     chosen = [(g, "train" if i < spec.n_train else "val", i + 1 - (i >= spec.n_train) * spec.n_train) for i, g in enumerate(order[: spec.n_train + spec.n_val])]
     picked = problems.sparkSession.createDataFrame(chosen, "g long, subset string, position int")
-    numbered = groups.withColumn("g", F.row_number().over(Window.orderBy("source_index")).cast("long") - 1)
-    return numbered.join(picked, "g").select("subset", "position", "source_index")
+    return number_rows(groups, "source_index", into="g").join(picked, "g").select("subset", "position", "source_index")
+
+
+def cached_split(spark: SparkSession, path: str, identity: dict, problems: DataFrame, spec: SplitSpec, make: Callable[[DataFrame, SplitSpec], DataFrame] = hash_split) -> DataFrame:
+    """The split kept at ``path``; made and written there if there is none.
+
+    Its document must name the same ``identity`` (of the source, its fingerprint, the seed and the sizes) and hold
+    as many rows as ``spec`` asks for, and the split must be safe; else an error.
+    """
+    expected = {**identity, "seed": spec.seed, "n_train": spec.n_train, "n_val": spec.n_val}
+    document = f"{path.rstrip('/')}.json"
+    known = read_json(spark, document)
+    if known is None:
+        replace_folder(make(problems, spec), path, "parquet")
+        write_json(spark, expected, document)
+    else:
+        for key, value in expected.items():
+            if known.get(key) != value:
+                raise ValueError(f"the split at {path} was made with {key} {known.get(key)!r}, not {value!r}")
+    split = spark.read.parquet(path)
+    sizes = {r.subset: r["count"] for r in split.groupBy("subset").count().collect()}
+    if (sizes.get("train", 0), sizes.get("val", 0)) != (spec.n_train, spec.n_val):
+        raise ValueError(f"the split at {path} holds {sizes}, not {spec.n_train} and {spec.n_val} rows")
+    assert_safe(split, problems)
+    return split
+
+
+def seeded_sample(df: DataFrame, k: int, order: str, seed: int = 42) -> DataFrame:
+    """``k`` rows (all if there are fewer) by Python's seeded sample of their places in the order of ``order``,
+    with their place in the sample as ``draw``. Only the places drawn are made on the driver."""
+    numbered = number_rows(df, order, into="__place")
+    drawn = random.Random(seed).sample(range(n := numbered.count()), min(k, n))
+    places = df.sparkSession.createDataFrame(list(enumerate(drawn)), "draw long, __place long")
+    return numbered.join(places, "__place").drop("__place")
 
 
 def split_violations(split: DataFrame, problems: DataFrame) -> DataFrame:

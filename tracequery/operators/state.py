@@ -35,9 +35,35 @@ def keep_targets(state: DataFrame, problems: DataFrame, key: str = "problem_id")
     return state.join(problems.select(key), key, "left_semi")
 
 
+def missing_records(problems: DataFrame, records: DataFrame, key: str = "problem_id") -> DataFrame:
+    """Problems without a record."""
+    return problems.join(records.select(key), key, "left_anti")
+
+
+def ids_in_both(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    return a.select(key).intersect(b.select(key))
+
+
+def ids_in_either(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    return a.select(key).union(b.select(key)).distinct()
+
+
+def first_match(df: DataFrame, by: str, order: str, *values: str) -> DataFrame:
+    """The least ``order`` of every group, and the values of the row that has it."""
+    return df.groupBy(by).agg(F.min(order).alias(order), *[F.min_by(v, order).alias(v) for v in values])
+
+
+def target_by_text(df: DataFrame, text: str, target: str, into: str = "target") -> DataFrame:
+    """Adds the greatest target among the rows of equal text, null for null texts. Texts are told apart by their
+    SHA-256, so no text is shuffled; the greatest per text is a partially aggregated maximum."""
+    keyed = df.withColumn("__h", F.sha2(text, 256))
+    last = keyed.where("__h IS NOT NULL").groupBy("__h").agg(F.max(target).alias(into))
+    return keyed.join(last, "__h", "left").drop("__h")
+
+
 def in_dataset_order(problems: DataFrame, records: DataFrame, key: str = "problem_id", order: str = "source_index", strict: bool = False) -> DataFrame:
     """Records of the problems in dataset order. With ``strict`` a problem without a record is an error."""
-    if strict and not problems.join(records, key, "left_anti").isEmpty():
+    if strict and not missing_records(problems, records, key).isEmpty():
         raise ValueError("some problems have no record")
     own = [c for c in records.columns if c == key or c not in problems.columns]
     return problems.join(records.select(*own), key).orderBy(order)

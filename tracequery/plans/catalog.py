@@ -6,18 +6,20 @@ tables alone; their tests are in ``tests``.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import numeric as N
 from ..functions import text as T
-from ..operators import chat, compare, curves, errors, fingerprint, metrics, splits, state
+from ..operators import chat, compare, curves, errors, fingerprint, metrics, ordering, splits, state
+from ..operators.generate import attempt_seed
 from ..operators.grading import training_score
 from ..operators.validation import falsely_rejected, rescue, student_target, validate
-from ..policies import ERROR_CLASSES, FAILURE_REASONS, SplitSpec
+from ..policies import ERROR_CLASSES, SplitSpec
+from ..scratch import materialize, scratch_path
 from ..sources import files
 from ..streaming import events as streams
 from .fixtures import GRADED_SQL, OUTPUTS_SQL, REASONS_SQL, graded, outputs, q, spread, table
@@ -112,9 +114,9 @@ def c4_wrong_but_valid(spark, sf):
     return errors.wrong_but_valid(graded(spark, sf)).select("pid", "k", "predicted_answer")
 
 
-@register(OUTPUTS_SQL.join(["with o as (", ") select pid, k from o where k in (2, 5) and (regexp_matches(raw_output, '\\d\\s*[+\\-*/=×÷]\\s*\\$?\\s*\\d')) and not regexp_matches(raw_output, '\\d\\s*[+\\-*/=×÷]\\s*\\d{9}')"]))
+@register(OUTPUTS_SQL.join(["with o as (", ") select pid, k from o where (regexp_matches(raw_output, '\\d\\s*[+\\-*/=×÷]\\s*\\$?\\s*\\d')) and not regexp_matches(raw_output, '\\d\\s*[+\\-*/=×÷]\\s*\\d{9}')"]))
 def c5_false_reject_predicate(spark, sf):
-    o = outputs(spark, sf).where("k in (2, 5)").withColumns({"is_correct": F.lit(True), "validation_errors": F.array(F.lit("reasoning_lacks_calculation_detail")), "teacher_reasoning": F.col("raw_output")})
+    o = outputs(spark, sf).withColumns({"is_correct": F.lit(True), "validation_errors": F.array(F.lit("reasoning_lacks_calculation_detail")), "teacher_reasoning": F.col("raw_output")})
     return o.where(falsely_rejected(strict=r"\d\s*[+\-*/=×÷]\s*\d{9}")).select("pid", "k")
 
 
@@ -177,7 +179,8 @@ def d3_j5_lifetime_carry(spark, sf):
 
 @register("select doc_id, h is not null and row_number() over (partition by h order by doc_id) > 1 is_duplicate from (select doc_id, sha256(regexp_replace(trim(lower(text), ' \n\t\r'), '\\s+', ' ', 'g')) h from documents)")
 def d4_duplicate_hash(spark, sf):
-    d = docs(spark, sf).withColumn("h", T.reasoning_hash(F.col("text")))
+    # Texts are hashed once; the flags need ids and hashes only.
+    d = materialize(docs(spark, sf).select("doc_id", T.reasoning_hash(F.col("text")).alias("h")), "hashes")
     return state.flag_duplicates(d, "h", "doc_id").select("doc_id", "is_duplicate")
 
 
@@ -205,14 +208,14 @@ def d6_dataset_order(spark, sf):
 
 @register("select count(*) missing from orders where o_custkey not in (select c_custkey from customer)")
 def d7_missing_records(spark, sf):
-    o = table(spark, sf, "orders")
-    return o.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").agg(F.count(F.lit(1)).alias("missing"))
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("problem_id"))
+    return state.missing_records(o, table(spark, sf, "customer").select(F.col("c_custkey").alias("problem_id"))).agg(F.count(F.lit(1)).alias("missing"))
 
 
 @register("select doc_id from documents where doc_id % 3 = 0 intersect select doc_id from documents where doc_id % 2 = 0")
 def d9_h3_index_overlap(spark, sf):
     d = docs(spark, sf).select("doc_id")
-    return d.where("doc_id % 3 = 0").intersect(d.where("doc_id % 2 = 0"))
+    return state.ids_in_both(d.where("doc_id % 3 = 0"), d.where("doc_id % 2 = 0"), "doc_id")
 
 
 _ERRORS = GRADED_SQL + """, e as (select pid, unnest(validation_errors) reason from g), b as (select reason, count(*) n from e where pid % 2 = 0 group by 1), a as (select reason, count(*) n from e where pid % 2 = 1 group by 1)
@@ -227,9 +230,7 @@ def d10_g7_error_table(spark, sf):
 
 @register("with t as (select text, max(doc_id) target from documents group by 1) select d.doc_id, t.target from documents d left join t using (text)")
 def d11_target_by_text(spark, sf):
-    d = docs(spark, sf)
-    last = d.groupBy("text").agg(F.max("doc_id").alias("target"))
-    return d.select("doc_id", "text").join(last, "text", "left").select("doc_id", "target")
+    return state.target_by_text(docs(spark, sf).select("doc_id", "text"), "text", "doc_id").select("doc_id", "target")
 
 
 _NORM_SQL = r"trim(regexp_replace(lower(text), '[^\p{L}\p{N}_]+', ' ', 'g'))"
@@ -304,7 +305,7 @@ def e8_subset_metrics(spark, sf):
 
 @register("select count(distinct user_id) ids, count(*) n from events")
 def e9_distinct_ids(spark, sf):
-    return table(spark, sf, "events").agg(F.countDistinct("user_id").alias("ids"), F.count(F.lit(1)).alias("n"))
+    return metrics.distinct_ids(table(spark, sf, "events"), "user_id")
 
 
 @register(f"select sha256({_NORM_SQL}) norm, min(doc_id) source_index from documents group by 1")
@@ -380,14 +381,13 @@ def f4_error_band(spark, sf):
 
 @register("select user_id, event_id, row_number() over (partition by user_id order by event_id) as position from events")
 def f5_position(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, sf, "events").select("user_id", "event_id", big(F.row_number().over(w)).alias("position"))
+    return ordering.position_within(table(spark, sf, "events").select("user_id", "event_id"), "user_id", "event_id")
 
 
 @register("select source, n, row_number() over (order by n desc, source) as place from (select source, count(*) n from documents group by 1)")
 def f6_ranking(spark, sf):
     n = docs(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    return n.withColumn("place", big(F.row_number().over(Window.orderBy(F.desc("n"), "source"))))
+    return ordering.ranking(n, F.desc("n"), "source")
 
 
 @register("select lang, doc_id from documents qualify row_number() over (partition by lang order by doc_id) <= 3")
@@ -397,7 +397,7 @@ def f7_first_k_per_class(spark, sf):
 
 @register("select lang, min(doc_id) doc_id, arg_min(source, doc_id) source from documents group by 1")
 def f8_first_match(spark, sf):
-    return docs(spark, sf).groupBy("lang").agg(F.min("doc_id").alias("doc_id"), F.min_by("source", "doc_id").alias("source"))
+    return state.first_match(docs(spark, sf), "lang", "doc_id", "source")
 
 
 @register(f"with {LOG_SQL} select problem_id, event_seq, row_number() over w generation_round, sum(attempts) over w::bigint lifetime_attempts, sum(completion_tokens) over w::bigint lifetime_completion_tokens from log window w as (partition by problem_id order by event_seq rows between unbounded preceding and current row)")
@@ -429,10 +429,17 @@ def g4_hash_split(spark, sf):
     return splits.hash_split(p, SplitSpec(100, 30)).withColumn("position", big(F.col("position")))
 
 
-@register()
+def _shuffled(n: int, train: int, val: int) -> str:
+    """Rows (group, subset, position) of Python's seeded shuffle of n groups, by a plain loop."""
+    order = list(range(n))
+    random.Random(42).shuffle(order)
+    return ", ".join(f"({g}, '{'train' if i < train else 'val'}', {i + 1 if i < train else i + 1 - train})" for i, g in enumerate(order[: train + val]))
+
+
+@register(f"with g as (select n_nationkey source_index, row_number() over (order by n_nationkey) - 1 g from nation) select subset, position::int as position, source_index from g join (values {_shuffled(25, 15, 8)}) v(g, subset, position) using (g)")
 def g4_seeded_split(spark, sf):
-    p = docs(spark, sf).select(F.col("text").alias("question"), F.col("doc_id").alias("source_index"))
-    return splits.seeded_split(p, SplitSpec(100, 30))
+    p = table(spark, sf, "nation").select(F.col("n_name").alias("question"), F.col("n_nationkey").alias("source_index"))
+    return splits.seeded_split(p, SplitSpec(15, 8))
 
 
 @register(f"select * from ({_SPLIT}) where (subset = 'train' and position <= 10) or (subset = 'val' and position <= 5)")
@@ -463,7 +470,7 @@ def h1_merge_summaries(spark, sf):
 @register("select distinct user_id id from events where event_type = 'purchase' union select distinct user_id from events where event_type = 'click'")
 def h2_union_of_ids(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("id"), "event_type")
-    return e.where("event_type = 'purchase'").select("id").union(e.where("event_type = 'click'").select("id")).distinct()
+    return state.ids_in_either(e.where("event_type = 'purchase'"), e.where("event_type = 'click'"), "id")
 
 
 # --- text and number functions -------------------------------------------------------------------------
@@ -533,12 +540,19 @@ def i32_slug(spark, sf):
 
 @register("select sha256(string_agg(doc_id::varchar || ':' || text || chr(10), '' order by doc_id)) fingerprint, count(*) n from documents")
 def i34_fingerprint(spark, sf):
+    """For tables whose texts fit one cell; :func:`i34_tree_fingerprint` is for any size."""
     return fingerprint.fingerprint(docs(spark, sf), F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("text"), F.lit("\n")), "doc_id")
 
 
+@register("""with l as (select doc_id // 250 leaf, sha256(string_agg(sha256(text), '' order by doc_id)) t from documents where text is not null group by 1)
+ select sha256(string_agg(t, '' order by leaf)) fingerprint from l""")
+def i34_tree_fingerprint(spark, sf):
+    return fingerprint.tree_fingerprint(docs(spark, sf).where("text IS NOT NULL"), F.col("text"), "doc_id", leaf=250)
+
+
 @register("select doc_id, 42 + doc_id * 100 + 2 seed, length(text) characters, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) words from documents")
 def i35_i36_seed_and_counts(spark, sf):
-    return docs(spark, sf).select("doc_id", (42 + F.col("doc_id") * 100 + 2).alias("seed"), big(F.length("text")).alias("characters"), big(T.word_count(F.col("text"))).alias("words"))
+    return docs(spark, sf).select("doc_id", attempt_seed(42, F.col("doc_id"), 2).alias("seed"), big(F.length("text")).alias("characters"), big(T.word_count(F.col("text"))).alias("words"))
 
 
 @register("select source, printf('%.1f%%', 100.0 * count(*) filter (lang = 'en') / count(*)) share from documents group by 1")
@@ -546,10 +560,10 @@ def i40_percent(spark, sf):
     return docs(spark, sf).groupBy("source").agg(T.percent(F.count_if(F.col("lang") == "en") / F.count(F.lit(1))).alias("share"))
 
 
-@register("""with w as (select doc_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) t, list_distinct(regexp_extract_all(lower(substr(text, 1, 200)), '[a-z]{4,}')) s from documents)
- select doc_id, case when len(t) > 0 then round(len(list_intersect(t, s)) / len(t), 6) end overlap from w""")
+@register("""with w as (select page_id, list_distinct(regexp_extract_all(lower(url), '[a-z]{4,}')) t, list_distinct(regexp_extract_all(lower(html), '[a-z]{4,}')) s from pages)
+ select page_id, case when len(t) > 0 then round(len(list_intersect(t, s)) / len(t), 6) end overlap from w""")
 def i41_lexical_overlap(spark, sf):
-    return docs(spark, sf).select("doc_id", F.round(T.overlap(F.col("text"), F.substring("text", 1, 200)), 6).alias("overlap"))
+    return table(spark, sf, "pages").select("page_id", F.round(T.overlap(F.col("url"), F.col("html")), 6).alias("overlap"))
 
 
 @register("""with r as (select event_type, count(*) filter (event_id % 2 = 0 and value > 50) / greatest(count(*) filter (event_id % 2 = 0), 1) b, count(*) filter (event_id % 2 = 1 and value > 50) / greatest(count(*) filter (event_id % 2 = 1), 1) a from events group by 1)
@@ -565,7 +579,7 @@ def i44_k6_improvement(spark, sf):
 
 
 def validated(spark, sf):
-    return validate(outputs(spark, sf), arrow=False)
+    return validate(outputs(spark, sf))
 
 
 _OUTSIDE = "trim(regexp_replace(regexp_replace(raw_output, '(?is)<reasoning>.*?</reasoning>', '', 'g'), '(?is)<final_answer>.*?</final_answer>', '', 'g'), ' \n')"
@@ -608,6 +622,14 @@ def j3_classify_errors(spark, sf):
     return errors.classify(questions(spark, sf)).select("o", "n", "label")
 
 
+@register(f"""with c as ({_CLASSES.replace('select o, n, case', 'select o, n, k, g, case')}) select o, n, label, case label when 'correct_reasoning_wrong_extraction' then 'last equation gives ' || g || ', as asked; answered ' || (case k when 3 then g + 7 else g + 100 end)
+ when 'off_by_one' then 'answered ' || (g + 1) || ' for ' || g when 'unit_error' then 'answer is 10 times the right one' when 'wrong_operation' then 'answer is 2 times the right one' when 'arithmetic_mistake' then '6*7=49 (gives 42)'
+ when 'premature_answer' then '1 steps only' when 'misunderstood_question' then 'numbers of the question not used: ' || array_to_string(list_sort(list_filter([g || ',', '61', '72'], lambda x: x <> g::varchar)), ', ') when 'hallucinated_reasoning' then 'numbers from nowhere: 111, 222, 333'
+ else 'a question of many parts, but 0 equations and 3 steps' end evidence from c""")
+def j3_error_evidence(spark, sf):
+    return errors.classify(questions(spark, sf)).select("o", "n", "label", "evidence")
+
+
 @register(f"select known.label, count(c.label) n from (values {', '.join(f'({q(c)})' for c in ERROR_CLASSES)}) as known(label) left join ({_CLASSES}) c on c.label = known.label group by 1")
 def e16_class_counts(spark, sf):
     return errors.class_counts(errors.classify(questions(spark, sf)))
@@ -616,7 +638,7 @@ def e16_class_counts(spark, sf):
 @register(OUTPUTS_SQL.join(["with o as (", ") select pid, 'accepted' status from o where k in (0, 1, 3, 9, 10)"]))
 def j4_rescue(spark, sf):
     o = outputs(spark, sf).withColumns({"is_correct": F.lit(True), "validation_errors": F.array(F.lit("reasoning_lacks_calculation_detail")), "teacher_reasoning": T.tag(F.col("raw_output"), "reasoning")})
-    return rescue(o, strict=r"\d\s*[+\-*/=×÷]\s*\d{9}", arrow=False).select("pid", "status")
+    return rescue(o, strict=r"\d\s*[+\-*/=×÷]\s*\d{9}").select("pid", "status")
 
 
 # --- statistics --------------------------------------------------------------------------------------------
@@ -629,9 +651,15 @@ def k2_mcnemar(spark, sf):
     return m.select("only_a_correct", "only_b_correct", "method", F.round("statistic", 9).alias("statistic"))
 
 
-@register()
+#: The chi-square tail from the series erf(x) = 2/sqrt(pi) exp(-x^2) sum 2^n x^(2n+1) / (2n+1)!!, whose terms are positive.
+@register("with recursive " + _PAIRS.removeprefix("with ") + """, c as (select count(*) filter (a_correct and not b_correct) a, count(*) filter (not a_correct and b_correct) b from pairs),
+x as (select a, b, a + b n, sqrt(pow(abs(a - b) - 1.0, 2) / greatest(a + b, 1) / 2) x from c),
+s as (select 0 i, x term, x total, x from x union all select i + 1, term * 2 * x * x / (2 * i + 3), total + term * 2 * x * x / (2 * i + 3), x from s where i < 300),
+mass as (select i, factorial(n::int) / factorial(i::int) / factorial((n - i)::int) * pow(0.5, n) m, i = least(a, b) here from x, lateral (select unnest(range(0, case when n < 25 then n + 1 else 0 end)) i))
+select a only_a_correct, b only_b_correct, n discordant, round(case when n = 0 then 1.0 when n < 25 then (select least(sum(m), 1.0) from mass where m <= (select max(m) from mass where here) + 1e-12)
+ else 1 - 2 / sqrt(pi()) * exp(-x * x) * (select max(total) from s) end, 9)::double p_value from x""")
 def k2_mcnemar_p_value(spark, sf):
-    return compare.mcnemar(compare.contingency(pairs(spark, sf)))
+    return compare.mcnemar(compare.contingency(pairs(spark, sf))).select("only_a_correct", "only_b_correct", big(F.col("discordant")).alias("discordant"), F.round("p_value", 9).alias("p_value"))
 
 
 @register("""with t as (select distinct (l_linenumber + 5)::int n, (l_linenumber % 4)::int k from lineitem), m as (select n, k, i, factorial(n::int) / factorial(i::int) / factorial((n - i)::int) * pow(0.5, n) mass from t, lateral (select unnest(range(0, n + 1)) i))
@@ -641,10 +669,27 @@ def k3_exact_binomial(spark, sf):
     return t.select(big(F.col("n")).alias("n"), big(F.col("k")).alias("k"), F.round(compare.binomial_two_sided(F.col("n"), F.col("k")), 9).alias("p"))
 
 
-@register()
+def _resampled(flags: list[bool], resamples: int = 2000) -> tuple[float, float]:
+    """The percentile interval of seeded resamples, by a plain loop."""
+    rng, n = random.Random(42), len(flags)
+    means = sorted(sum(flags[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
+    return means[50], means[1949]
+
+
+@register("select {}::double ci_lower, {}::double ci_upper".format(*_resampled([i % 3 == 0 for i in range(25)])))
 def k1_bootstrap_interval(spark, sf):
-    e = table(spark, sf, "customer").select((F.col("c_acctbal") > 4000).alias("is_correct"), F.col("c_custkey").alias("source_index"))
-    return compare.bootstrap_large(e)
+    e = table(spark, sf, "nation").select((F.col("n_nationkey") % 3 == 0).alias("is_correct"), F.col("n_nationkey").alias("source_index"))
+    return compare.bootstrap_interval(e)
+
+
+@register("with e as (select count(*) n, count(*) filter (c_acctbal > 4000) k from customer) select true as near from e")
+def k1_bootstrap_from_counts(spark, sf):
+    """The interval from the two counts lies within a tenth of its width of the normal one."""
+    e = table(spark, sf, "customer").select((F.col("c_acctbal") > 4000).alias("is_correct"))
+    n = e.agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("is_correct").cast("int")).alias("p"))
+    wide = 1.959964 * F.sqrt(F.col("p") * (1 - F.col("p")) / F.col("n"))
+    out = compare.bootstrap_large(e).crossJoin(F.broadcast(n))
+    return out.select(((F.abs(F.col("ci_lower") - F.col("p") + wide) < 0.2 * wide) & (F.abs(F.col("ci_upper") - F.col("p") - wide) < 0.2 * wide)).alias("near"))
 
 
 # --- further idioms ------------------------------------------------------------------------------------------
@@ -654,28 +699,25 @@ def k1_bootstrap_interval(spark, sf):
 def d14_unmatched_numbers(spark, sf):
     known = F.array(F.col("l_linenumber").cast("double"), F.lit(4.0))
     values = F.array("l_quantity", F.col("l_tax") * 100, F.col("l_discount") * 100)
-    far = F.filter(values, lambda v: F.forall(known, lambda x: F.abs(v - x) > 1e-6))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", big(F.size(F.array_distinct(far))).alias("far"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", big(F.size(N.far_values(values, known))).alias("far"))
 
 
 @register("select a.o_orderkey, b.c_name from (select o_orderkey, row_number() over (order by o_orderkey) n from orders) a join (select c_name, row_number() over (order by c_custkey) n from customer) b using (n)")
 def d8_d12_positional_join(spark, sf):
-    def numbered(name, key):
-        return table(spark, sf, name).withColumn("n", F.row_number().over(Window.orderBy(key)))
-
-    return numbered("orders", "o_orderkey").join(numbered("customer", "c_custkey"), "n").select("o_orderkey", "c_name")
+    left, right = table(spark, sf, "orders").select("o_orderkey"), table(spark, sf, "customer").select("c_custkey", "c_name")
+    return ordering.positional_join(left, right, "o_orderkey", "c_custkey").select("o_orderkey", "c_name")
 
 
 @register(f"with o as ({OUTPUTS_SQL}) select pid, k, array_to_string(list_sort(list_filter(list_distinct(regexp_extract_all(question, '-?\\d[\\d,]*(?:\\.\\d+)?')), lambda x: not list_contains(regexp_extract_all(raw_output, '-?\\d[\\d,]*(?:\\.\\d+)?'), x) and x not in ('1', '2'))), '|') unused from o")
 def h4_unused_numbers(spark, sf):
-    left = F.array_except(F.array_except(N.numbers(F.col("question")), N.numbers(F.col("raw_output"))), F.array(F.lit("1"), F.lit("2")))
+    left = N.unused_numbers(F.col("question"), F.col("raw_output"))
     return outputs(spark, sf).select("pid", "k", joined(F.array_sort(left)).alias("unused"))
 
 
 @register(GRADED_SQL + ", e as (select pid, unnest(validation_errors) reason from g) select distinct reason from e where pid % 2 = 0 union select distinct reason from e where pid % 2 = 1")
 def h5_distinct_reasons(spark, sf):
-    e = graded(spark, sf).select("pid", F.explode("validation_errors").alias("reason"))
-    return e.where("pid % 2 = 0").select("reason").union(e.where("pid % 2 = 1").select("reason")).distinct()
+    g = graded(spark, sf).select("pid", "validation_errors")
+    return state.ids_in_either(metrics.distinct_tags(g.where("pid % 2 = 0")), metrics.distinct_tags(g.where("pid % 2 = 1")), "reason")
 
 
 _ACC = "count(*) filter (is_correct) / count(*)"
@@ -721,10 +763,13 @@ def l1_l3_render_messages(spark, sf):
     return chat.build_messages(p, answer_only=True).select("p_partkey", chat.render(F.col("chat")).alias("text"))
 
 
-@register("""with m as (select conv_id, count(*) n, max(turn) last from conversations group by 1) select m.conv_id, (n - 1) prompt_messages, c.text completion from m join conversations c on c.conv_id = m.conv_id and c.turn = m.last where c.role = 'assistant' and n >= 2""")
+@register("""with m as (select conv_id, count(*) n, max(turn) last from conversations group by 1), f as (select m.conv_id, n, c.text, coalesce(c.role = 'assistant' and n >= 2, false) fits from m join conversations c on c.conv_id = m.conv_id and c.turn = m.last)
+ select conv_id, fits, case when fits then n - 1 end prompt_messages, case when fits then text end completion from f""")
 def l2_prompt_completion(spark, sf):
-    c = files.conversations(table(spark, sf, "conversations")).where((F.size("messages") >= 2) & (F.element_at("messages", -1)["role"] == "assistant"))
-    return c.withColumn("p", chat.prompt_completion(F.col("messages"))).select("conv_id", big(F.size("p.prompt")).alias("prompt_messages"), F.element_at("p.completion", 1)["content"].alias("completion"))
+    """All conversations; those that do not end with the assistant would be an error and are told by ``fits``."""
+    c = files.conversations(table(spark, sf, "conversations")).withColumn("fits", chat.ends_with_assistant(F.col("messages")))
+    c = c.withColumn("p", F.when(F.col("fits"), chat.prompt_completion(F.col("messages"))))
+    return c.select("conv_id", "fits", F.when(F.col("fits"), big(F.size("p.prompt"))).alias("prompt_messages"), F.get("p.completion", F.lit(0))["content"].alias("completion"))
 
 
 @register("select p_partkey, p_size % 5 + 3 supervised, 3::bigint ignored from (select p_partkey, p_size::bigint p_size from part)")
@@ -742,22 +787,23 @@ def l6_pad_batches(spark, sf):
     return chat.pad_batches(p, 4, "p_partkey").select("p_partkey", big(F.col("batch")).alias("batch"), big(F.size("labels")).alias("width"))
 
 
-@register()
+@register(f"""with {_POINTS}, w as (select metric, step, coalesce(value >= min(value) over (partition by metric order by step rows between unbounded preceding and 1 preceding), false)::int worse from f),
+b as (select metric, step, sum(worse) over (partition by metric order by step rows between 1 preceding and current row) = 2 bad from w)
+select metric, coalesce(min(step) filter (bad), max(step)) stop_step from b group by 1""")
 def l10_early_stop(spark, sf):
-    return curves.early_stop(points(spark, sf))
+    return curves.early_stop(points(spark, sf)).drop("run")
 
 
 # --- streaming ---------------------------------------------------------------------------------------------
 
 
+def event_stream(spark, sf) -> DataFrame:
+    return spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
+
+
 def _stream(spark, sf, build, mode: str) -> DataFrame:
     """Run a streaming query over the events table to its end and return its result table."""
-    schema = table(spark, sf, "events").schema
-    events = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
-    name = f"stream_{abs(hash((build.__name__, sf)))}"
-    query = build(events).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    return streams.table_of(build(event_stream(spark, sf)), scratch_path(spark, "stream"), scratch_path(spark, "offsets"), mode)
 
 
 @register("select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by event_id desc) = 1")
@@ -783,3 +829,6 @@ def x_tumbling_windows_stream(spark, sf):
 
     out = _stream(spark, sf, tumbling, "complete")
     return out.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+from . import catalog_io  # noqa: E402, F401  registers the queries of sources, sinks and runs

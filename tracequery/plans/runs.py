@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,8 @@ from ..operators.generate import Backend, generate
 from ..operators.grading import grade
 from ..operators.metrics import metrics_document
 from ..operators.validation import student_target, validate
-from ..policies import SYSTEM_PROMPT, ValidationPolicy
+from ..policies import GENERATOR_PREFIX, GENERATOR_PROMPT, SYSTEM_PROMPT, ValidationPolicy
+from ..scratch import materialize
 
 
 def evaluate_run(problems: DataFrame, done: DataFrame | None, make: Callable[[], Backend], seed: int = 42) -> DataFrame:
@@ -23,34 +25,52 @@ def evaluate_run(problems: DataFrame, done: DataFrame | None, make: Callable[[],
     return grade(rows, truncated="cut", error="generation_error").drop("cut")
 
 
-def produce_run(problems: DataFrame, events: DataFrame | None, make: Callable[[], Backend], policy: ValidationPolicy = ValidationPolicy(), attempts: int = 3, seed: int = 42, forbidden: DataFrame | None = None) -> DataFrame:
+def produce_run(
+    problems: DataFrame, events: DataFrame | None, make: Callable[[], Backend], policy: ValidationPolicy = ValidationPolicy(), attempts: int = 3, seed: int = 42,
+    forbidden: DataFrame | None = None, system: str = GENERATOR_PROMPT, prefix: str = GENERATOR_PREFIX, wait: float = 0.0,
+) -> DataFrame:
     """Accepted and rejected events for the problems that are not accepted yet.
 
-    All attempts are made and validated, the first valid one wins; rows whose reasoning an earlier row or
-    ``forbidden(reasoning_hash)`` has are rejected as duplicates; lifetime totals carry over.
+    Attempts are made in rounds. A round asks the backend once for every problem still open, and its outputs
+    are written before they are judged, so no call is made twice. A problem is settled by its first valid
+    output whose reasoning none has that was accepted before (in ``events``, ``forbidden(reasoning_hash)`` or an earlier
+    round), nor a problem of the same round with a smaller index. What is open after the last round is
+    rejected with its last output. Usage is summed over the attempts; lifetime totals carry over.
     """
     prior = state.latest_state(events) if events is not None else None
     todo = state.pending(problems, prior, state.is_done()) if prior is not None else problems
-    tries = generate(todo, make, SYSTEM_PROMPT, seed, attempts).withColumnRenamed("text", "raw_output")
-    judged = validate(tries.join(todo.select("problem_id", "source_index", "question", "gold_answer"), "problem_id"), policy, finish="finish_reason")
-    failed = F.col("generation_error").isNotNull()
-    judged = judged.withColumn("is_valid", F.col("is_valid") & ~failed).withColumn("validation_errors", F.when(failed, F.array(F.lit("server_or_client_error"))).otherwise(F.col("validation_errors")))
-    best = state.chosen_attempt(judged).drop("elapsed_seconds", "prompt_tokens", "completion_tokens", "total_tokens", "attempt")
+    left = materialize(todo.select("problem_id", "source_index", "question", "gold_answer"), "open")
+    known = [forbidden.select("reasoning_hash")] if forbidden is not None else []
+    if prior is not None:
+        known.append(prior.where(state.is_accepted()).select("reasoning_hash"))
+    made = []
+    for n in range(1, attempts + 1):
+        tries = materialize(generate(left, make, system, seed, 1, wait=wait if n > 1 else 0.0, first=n, prefix=prefix).withColumnRenamed("text", "raw_output"), "attempts")
+        judged = validate(tries.join(left, "problem_id"), policy, finish="finish_reason")
+        failed = F.col("generation_error").isNotNull()
+        judged = judged.withColumn("is_valid", F.col("is_valid") & ~failed).withColumn("validation_errors", F.when(failed, F.array(F.lit("server_or_client_error"))).otherwise(F.col("validation_errors")))
+        judged = state.flag_duplicates(materialize(judged.withColumn("__own", F.when(F.col("is_valid"), F.col("reasoning_hash"))), "judged"), "__own", "source_index")
+        twice = F.col("is_duplicate")
+        if known:
+            every = reduce(DataFrame.union, known).where("reasoning_hash IS NOT NULL").select(F.col("reasoning_hash").alias("__f")).distinct()
+            judged = judged.join(every, F.col("__own") == F.col("__f"), "left")
+            twice = twice | F.col("__f").isNotNull()
+        errors = F.when(F.col("is_valid") & twice, F.array(F.lit("duplicate_reasoning_output"))).otherwise(F.col("validation_errors"))
+        judged = judged.withColumn("validation_errors", errors).drop("__own", "__f", "is_duplicate")
+        judged = materialize(judged.withColumn("is_valid", F.size("validation_errors") == 0), "round")
+        made.append(judged)
+        good = judged.where("is_valid")
+        known.append(good.select("reasoning_hash"))
+        left = left.join(good.select("problem_id"), "problem_id", "left_anti")
+        if n < attempts and left.isEmpty():
+            break
+    best = state.chosen_attempt(reduce(DataFrame.unionByName, made)).drop("elapsed_seconds", "prompt_tokens", "completion_tokens", "total_tokens", "attempt")
     for c in ("elapsed_seconds", "prompt_tokens", "completion_tokens"):
         best = best.withColumnRenamed(f"total_{c}", c)
-    best = best.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens")).withColumn("__own", F.when(F.col("is_valid"), F.col("reasoning_hash")))
-    best = state.flag_duplicates(best, "__own", "source_index")
-    twice = F.col("is_valid") & F.col("is_duplicate")
-    if forbidden is not None:
-        best = best.join(forbidden.select(F.col("reasoning_hash").alias("__f")).distinct(), F.col("__own") == F.col("__f"), "left")
-        twice = twice | (F.col("is_valid") & F.col("__f").isNotNull())
-    best = best.withColumn("__twice", twice)
-    best = best.withColumn("validation_errors", F.when(F.col("__twice"), F.array(F.lit("duplicate_reasoning_output"))).otherwise(F.col("validation_errors")))
-    accepted = F.size("validation_errors") == 0
-    best = best.withColumn("status", F.when(accepted, "accepted").otherwise("rejected")).withColumn("student_target", F.when(accepted, student_target(F.col("teacher_reasoning"), F.col("teacher_final_answer"))))
-    best = best.drop("__own", "__twice", "__f", "is_duplicate")
-    empty = best.limit(0) if prior is None else prior
-    return state.with_lifetime(best, empty)
+    best = best.withColumn("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))
+    best = best.withColumn("status", F.when(F.col("is_valid"), "accepted").otherwise("rejected"))
+    best = best.withColumn("student_target", F.when(F.col("is_valid"), student_target(F.col("teacher_reasoning"), F.col("teacher_final_answer"))))
+    return state.with_lifetime(best, best.limit(0) if prior is None else prior)
 
 
 def compare_conditions(before: DataFrame, after: DataFrame, teacher_accuracy: float | None = None) -> DataFrame:

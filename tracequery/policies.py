@@ -57,12 +57,19 @@ SYSTEM_PROMPT = (
     "text."
 )
 ANSWER_ONLY_PROMPT = "Solve the mathematical problem. Return only the numerical answer inside <final_answer> tags."
-USER_PREFIX = "Problem:\n"
+USER_PREFIX, GENERATOR_PREFIX = "Problem:\n", "Question:\n"
+#: What the generator of training rows is told unless a run names a prompt of its own.
+GENERATOR_PROMPT = (
+    "Write a worked solution for a small model to learn from. One arithmetic operation a step, written with "
+    "digits and symbols as an equation, in numbered lines; leave out nothing that is needed. Put the steps "
+    "between <reasoning> and </reasoning>, and the bare number between <final_answer> and </final_answer>. "
+    "Write nothing else."
+)
 
 
 @dataclass(frozen=True)
 class ValidationPolicy:
-    """Quality rules for generated answers. ``calculation`` must be found in the reasoning."""
+    """Quality rules for generated answers. ``calculation``, a fixed value, must be found in the reasoning."""
 
     calculation: str = r"\d\s*[\w/%]*\s*[+\-*/=×÷]\s*[$€]?\s*\d"
     least_characters: int = 20
@@ -81,7 +88,7 @@ class ValidationPolicy:
 
 #: The looser pattern under which rejected rows are looked at again; a fixed value.
 RESCUE_CALCULATION = r"\d\s*[+\-*/=×÷]\s*\$?\s*\d"
-#: The earlier, stricter pattern that the rescue was made for: operator and digits side by side.
+#: The earlier, stricter pattern that the rescue was made for: operator and digits side by side; a fixed value.
 STRICT_CALCULATION = r"\d\s*[+\-*/=×÷]\s*\d"
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.text import gold_answer
+from ..functions.text import gold_answer, strip
+from ..operators.ordering import number_rows
 from ..schemas import MESSAGE
 
 
@@ -18,13 +18,22 @@ def read_table(spark: SparkSession, path: str, version: str | None = None, file_
 def problems(df: DataFrame, order: str, question: str = "question", answer: str = "answer", prefix: str = "problem", digits: int = 4, limit: int | None = None) -> DataFrame:
     """Problem rows: index in the given order, id with zero-padded index, question, gold answer.
 
-    With a limit only the first rows are kept before numbering, so the order is a top-k and not a sort.
+    With a limit only the first rows are kept before numbering, so the order is a top-k and not a sort;
+    without one the rows are numbered in parallel (:func:`..operators.ordering.number_rows`).
     """
-    rows = df.select(F.col(order).alias("__o"), F.col(question).alias("question"), F.col(answer).alias("__a"))
+    rows = df.select(F.col(order).alias("__o"), F.col(question).alias("question"), gold_answer(F.col(answer)).alias("gold_answer"))
     if limit is not None:
         rows = rows.orderBy("__o").limit(limit)
-    rows = rows.withColumn("source_index", F.row_number().over(Window.orderBy("__o")).cast("long") - 1)
-    return rows.select(F.format_string(f"{prefix}_%0{digits}d", "source_index").alias("problem_id"), "source_index", "question", gold_answer(F.col("__a")).alias("gold_answer"))
+    rows = number_rows(rows, "__o", into="source_index")
+    return rows.select(F.format_string(f"{prefix}_%0{digits}d", "source_index").alias("problem_id"), "source_index", "question", "gold_answer")
+
+
+def require_rows(df: DataFrame, expected: int, what: str = "table") -> DataFrame:
+    """The table itself; an error unless it has ``expected`` rows."""
+    n = df.count()
+    if n != expected:
+        raise ValueError(f"{what} has {n} rows, not {expected}")
+    return df
 
 
 def read_document(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ("exact_match_accuracy",)) -> DataFrame:
@@ -52,7 +61,7 @@ def read_metric_files(spark: SparkSession, path: str, run: str) -> DataFrame:
 
 def read_params(spark: SparkSession, path: str) -> DataFrame:
     """``key, value`` from a folder of one file per key."""
-    return spark.read.text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("key"), F.trim("value").alias("value"))
+    return spark.read.text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("key"), strip(F.col("value")).alias("value"))
 
 
 def param(params: DataFrame, key: str, default: str) -> str:
@@ -71,6 +80,18 @@ def checkpoints(files: DataFrame) -> DataFrame:
     return files.select("folder").distinct().withColumn("step", F.regexp_extract("folder", r"-(\d+)$", 1).try_cast("long")).where("step IS NOT NULL").orderBy("step")
 
 
+def newest_checkpoint(files: DataFrame) -> DataFrame:
+    """``folder, step`` of the folder with the greatest number at its end; no row without one."""
+    return checkpoints(files).orderBy(F.desc("step")).limit(1)
+
+
+def latest_run(files: DataFrame, part: str = "metrics") -> DataFrame:
+    """``run`` of the run folder changed last, of those that hold a folder ``part``; no row without one."""
+    run = F.regexp_extract("path", rf"^(.*/[^/]+)/{part}/[^/]+$", 1)
+    runs = files.select(run.alias("run"), "modified").where("run != ''").groupBy("run").agg(F.max("modified").alias("modified"))
+    return runs.orderBy(F.desc("modified"), F.desc("run")).limit(1).select("run")
+
+
 def size_gib(files: DataFrame) -> DataFrame:
     """Total size in GiB; null of no files."""
     return files.agg((F.sum("size") / (1024**3)).alias("size_gib"))

@@ -56,6 +56,23 @@ def upsert_latest(events: DataFrame, path: str, checkpoint: str, key: str = "pro
     return events.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def table_of(result: DataFrame, path: str, checkpoint: str, mode: str = "complete") -> DataFrame:
+    """Run a streaming query to the end of its input and return its result table.
+
+    Each batch's result is written as Parquet under ``path``, in parallel and by its number, so a batch that runs
+    again replaces its own. In complete mode the last batch is the result, in append mode all are.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number:09}")
+
+    query = result.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+    query.awaitTermination()
+    out = result.sparkSession.read.option("basePath", path).parquet(f"{path}/batch=*")
+    if mode == "complete":
+        out = out.where(F.col("batch") == out.agg(F.max("batch")).first()[0])
+    return out.drop("batch")
+
+
 def read_latest(spark, path: str) -> DataFrame:
     """The state that :func:`upsert_latest` keeps."""
     every = spark.read.parquet(path)
