@@ -1,7 +1,7 @@
 """Shared plumbing of the training-data operators.
 
-* :func:`materialize` cuts lineage with a Parquet table in the shared checkpoint folder, so a lost
-  executor costs at most one stage.
+* :func:`materialize` cuts lineage with a Parquet table in the shared checkpoint folder (see ``scratch``), so a
+  lost executor costs at most one stage.
 * :func:`components` is a distributed connected-components operator (alternating large and small stars).
 * :func:`class_sample` draws the bounded, documented sample a classifier may be fitted on.
 * :func:`split_hot` splits over-full join buckets into pairs of blocks, so no task gets an unbounded group.
@@ -9,46 +9,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LOCAL_SCRATCH: dict[str, str] = {}
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    Where the setting is empty a private folder is used, but only in local mode: on a cluster a
-    machine-local folder would be invisible to the other machines, so that is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local") or master.startswith("local-cluster"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[app] = tempfile.mkdtemp(prefix="tracequery-")
-    return _LOCAL_SCRATCH[app]
-
-
-def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_dir(spark)}/tracequery/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back; the plan starts anew from there."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+from ..scratch import materialize, scratch_path  # noqa: F401  for the operators beside this module
 
 def crc32_of(col: Column) -> Column:
     """Unsigned CRC-32 of a column's text form (null: null)."""

@@ -18,6 +18,7 @@ pairs, and norms are taken only of pairs whose bound exceeds the best score foun
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -26,6 +27,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,12 +41,12 @@ LONGEST = 24
 LANDMARKS = 128
 PER_CLASS = 1500
 #: Token strings and word pairs of one document that training keeps at most, by a seeded hash where it has more.
-BAG = (2000, 500)
+BAG = (2000, 300)
 ROUNDS = 3
 DISGUISES = 3
 #: Share of toxic documents that a score of one half assumes.
 PRIOR, PAIR_PRIOR = 0.02, 0.02
-NEGATIVES = 15_000
+NEGATIVES = 12_000
 CACHED_TOKENS = 500_000
 #: Units of text whose pairs of words are scored together.
 UNITS = 1 << 20
@@ -240,19 +242,23 @@ def landmark_features(strings: list[str], landmarks: list[str]) -> np.ndarray:
 
 
 def linear_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float, rounds: int = 30) -> np.ndarray:
-    """Primal Newton steps on the weighted squared hinge loss; the last coefficient is the offset."""
-    x = np.hstack([x, np.ones((len(x), 1))]).astype(np.float64)
-    ridge = penalty * np.eye(x.shape[1])
+    """Primal Newton steps on the weighted squared hinge loss; the last coefficient is the offset. Rows are taken a
+    block at a time, so single precision is enough to hold them."""
+    ridge = penalty * np.eye(x.shape[1] + 1)
     ridge[-1, -1] = 1e-6
-    v = np.zeros(x.shape[1])
+    v = np.zeros(x.shape[1] + 1)
     active = None
     for _ in range(rounds):
-        now = y * (x @ v) < 1
+        now = y * (x @ v[:-1].astype(x.dtype) + v[-1]) < 1
         if active is not None and np.array_equal(now, active):
             break
-        active = now
-        xa, wa = x[active], weight[active]
-        v = np.linalg.solve(xa.T @ (xa * wa[:, None]) + ridge, xa.T @ (wa * y[active]))
+        active, left, right = now, ridge.copy(), np.zeros(len(v))
+        for i in range(0, len(x), 4096):
+            rows = i + np.flatnonzero(now[i : i + 4096])
+            xa = np.hstack([x[rows], np.ones((len(rows), 1))]).astype(np.float64)
+            left += xa.T @ (xa * weight[rows][:, None])
+            right += xa.T @ (weight[rows] * y[rows])
+        v = np.linalg.solve(left, right)
     return v
 
 
@@ -364,39 +370,77 @@ def bag_of(text: str, seed: int = 0) -> tuple[set[str], set[str]]:
     return tuple(x if len(x) <= n else set(sorted(x, key=lambda v: (zlib.crc32(v.encode("utf-8", "surrogatepass"), seed), v))[:n]) for x, n in zip((strings, word_pairs(lower)), BAG))
 
 
-Bag = tuple[frozenset[str], frozenset[str], int]
+def _lists(column: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """The values of a column of lists one after another, and the list that each belongs to."""
+    whole = column.combine_chunks()
+    return whole.flatten(), np.repeat(np.arange(len(whole)), pc.list_value_length(whole).to_numpy(zero_copy_only=False))
+
+
+def _counts(*values: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct values in order, and how often each occurs."""
+    found = pc.value_counts(pa.concat_arrays(values))
+    order = pc.sort_indices(found.field("values"))
+    return found.field("values").take(order), found.field("counts").take(order).to_numpy()
 
 
-def fit(bags: list[Bag]) -> tuple[ToxicityModel, np.ndarray, np.ndarray]:
-    """Multiple-instance training on bags ``(tokens, pairs, label)``; equal bags count once. Returns a model
-    without links, and scores of disguised examples: of tokens, and of such cut in two by a space."""
-    bags = list(dict.fromkeys(b for b in bags if b[0]))
-    toxic, clean = [b for b in bags if b[2] == 1], [b for b in bags if b[2] == 0]
-    if not toxic or not clean:
+def fit(bags: pa.Table) -> tuple[ToxicityModel, np.ndarray, np.ndarray]:
+    """Multiple-instance training on bags ``(label, bag, tokens, pairs)``; rows of equal label and ``bag`` count once.
+    Returns a model without links, and scores of disguised examples: of tokens, and of such cut in two by a space.
+
+    Strings stay in Arrow but for the examples, so a sample of many strings takes little memory.
+    """
+    place: dict[tuple[int, int], int] = {}
+    for i, key in enumerate(zip(bags.column("label").to_pylist(), bags.column("bag").to_pylist())):
+        place.setdefault(key, i)
+    bags = bags.take(pa.array(sorted(place.values()), pa.int64()))
+    bags = bags.filter(pc.greater(pc.list_value_length(bags.column("tokens")), 0))
+    toxic, clean = (bags.filter(pc.equal(bags.column("label"), y)) for y in (1, 0))
+    if not len(toxic) or not len(clean):
         return ToxicityModel(np.zeros(_CODES), 0.0), np.empty(0), np.empty(0)
-    in_toxic, in_clean = (Counter(s for b in some for part in b[:2] for s in part) for some in (toxic, clean))
-    odds = {s: np.log((n + 0.5) / (len(toxic) + 1)) - np.log((in_clean[s] + 0.5) / (len(clean) + 1)) for s, n in in_toxic.items() if " " not in s or n > 1}
-    strength = {s: o * np.sqrt(in_toxic[s]) for s, o in odds.items() if " " not in s or o > 1}
-    strings = [sorted(s for part in b[:2] for s in part if s in strength) for b in toxic]
+    (tokens, token_of), (pairs, pair_of) = (_lists(toxic.column(c)) for c in ("tokens", "pairs"))
+    clean_tokens, clean_pairs = (_counts(_lists(clean.column(c))[0]) for c in ("tokens", "pairs"))
+
+    def strength(values: pa.Array, others: tuple[pa.Array, np.ndarray], least: int, least_odds: float) -> tuple[pa.Array, np.ndarray]:
+        """Strings of toxic bags by how much more often they occur in these than in clean ones."""
+        known, n = _counts(values)
+        at = pc.fill_null(pc.index_in(known, value_set=others[0]), -1).to_numpy(zero_copy_only=False)
+        m = np.where(at >= 0, np.append(others[1], 0)[at], 0)
+        odds = np.log((n + 0.5) / (len(toxic) + 1)) - np.log((m + 0.5) / (len(clean) + 1))
+        kept = np.flatnonzero((n >= least) & (odds > least_odds))
+        return known.take(pa.array(kept)), (odds * np.sqrt(n))[kept]
+
+    strong = [strength(tokens, clean_tokens, 1, -np.inf), strength(pairs, clean_pairs, 2, 1.0)]
+    every = [*strong[0][0].to_pylist(), *strong[1][0].to_pylist()]
+    strengths = np.concatenate([strong[0][1], strong[1][1]])
+    # Each bag's strings as places in ``every``.
+    inside, first_pair = [], len(strong[0][0])
+    for values, owner, known, start in ((tokens, token_of, strong[0][0], 0), (pairs, pair_of, strong[1][0], first_pair)):
+        at = pc.fill_null(pc.index_in(values, value_set=known), -1).to_numpy(zero_copy_only=False)
+        inside.append(np.stack([owner[at >= 0], at[at >= 0] + start]))
+    owner, member = np.concatenate(inside, axis=1)
+    order = np.lexsort((member, owner))
+    owner, member = owner[order], member[order]
+    edges = np.append(np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])), len(owner))
+
+    def strongest(score: np.ndarray) -> Counter[str]:
+        """Each bag's string of greatest score, the first of equal ones."""
+        return Counter(every[member[a + int(np.argmax(score[member[a:b]]))]] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()))
+
     rng = np.random.default_rng(17)
-    negatives = [sorted({s for b in clean for s in b[k]}) for k in (0, 1)]
-    for some in negatives:
-        rng.shuffle(some)
-    first = Counter(max(b, key=strength.__getitem__) for b in strings)
+    negatives = [known.take(pa.array(rng.permutation(len(known))[: 3 * NEGATIVES])).to_pylist() for known, _ in (clean_tokens, clean_pairs)]
+    witnesses = strongest(strengths)
     # Landmarks are drawn from the examples of both classes without regard to strength.
-    marks = [str(s) for s in rng.permutation(sorted(first))[:LANDMARKS]]
-    marks += [s for some, n in zip(negatives, (LANDMARKS, LANDMARKS // 2)) for s in some[:n] if s not in first]
+    marks = [str(s) for s in rng.permutation(sorted(witnesses))[:LANDMARKS]]
+    marks += [s for some, n in zip(negatives, (LANDMARKS, LANDMARKS // 2)) for s in some[:n] if s not in witnesses]
     own = landmark_features(marks, marks).astype(np.float64)
     values, vectors = np.linalg.eigh((own + own.T) / 2 + 1e-6 * np.eye(len(marks)))
     root = vectors / np.sqrt(np.maximum(values, 1e-6))
-    witnesses, hard = first, []
-    every = sorted(strength)
-    mined = [s for some in negatives for s in some[: 3 * NEGATIVES]]
+    mined, hard = [s for some in negatives for s in some], []
     for _ in range(ROUNDS):
         pos, neg = sorted(witnesses), list(dict.fromkeys([*negatives[0][:NEGATIVES], *negatives[1][: NEGATIVES // 2], *hard]))
         counts = np.sqrt([witnesses[s] for s in pos] * (1 + DISGUISES))
         pos += [disguised(s, rng) for _ in range(DISGUISES) for s in pos]
-        x = landmark_features(pos + neg, marks) @ root
+        x = landmark_features(pos + neg, marks) @ root.astype(np.float32)
         y = np.array([1.0] * len(pos) + [-1.0] * len(neg))
         weight = np.concatenate([counts / counts.sum(), np.full(len(neg), 1 / len(neg))])
         v = linear_svm(x, y, weight, 1e-4)
@@ -406,10 +450,9 @@ def fit(bags: list[Bag]) -> tuple[ToxicityModel, np.ndarray, np.ndarray]:
             for r, i in enumerate(some.tolist()):
                 np.add.at(table, codes[r], beta[i] * w / norms[r])
         model = ToxicityModel(table, float(v[-1]))
-        score = dict(zip(every, model.string_scores(every).tolist()))
-        witnesses = Counter(max(b, key=score.__getitem__) for b in strings)
-        hard = [mined[i] for i in np.argsort(-model.string_scores(mined))[:3000].tolist()]
-    shown = [s for s in witnesses.elements()]
+        witnesses = strongest(model.string_scores(every))
+        hard = [mined[i] for i in np.argsort(-model.string_scores(mined), kind="stable")[:3000].tolist()]
+    shown = sorted(witnesses.elements())
     cut = [f"{s[:k]} {s[k:]}" for s in shown if len(s) > 3 and " " not in s for k in (int(rng.integers(2, len(s) - 1)),)]
     return model, model.string_scores([disguised(s, rng) for s in shown]), model.string_scores(cut)
 
@@ -442,19 +485,17 @@ def _bags(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got = [bag_of(t, h & 0xFFFFFFFF) for h, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
         lists = [pa.array([sorted(g[k]) for g in got], pa.list_(pa.string())) for k in (0, 1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["h", "label", "tokens", "pairs"])
+        keys = [int.from_bytes(hashlib.blake2b("\n".join(sorted(g[0])).encode("utf-8", "surrogatepass"), digest_size=7).digest()) for g in got]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(keys, pa.int64()), *lists], ["h", "label", "bag", "tokens", "pairs"])
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> ToxicityModel:
     """Fit on a bounded sample: at most ``per_class`` documents of each label, of whatever length; the driver
     gets at most ``BAG`` strings of each. The links are fitted on the same documents' whole texts."""
     sample = materialize(labelled_sample(docs, labels, "toxic", per_class).select("h", "label", "text"), "toxic_sample")
-    rows = sample.mapInArrow(_bags, "h long, label int, tokens array<string>, pairs array<string>").collect()
-    known: dict[str, str] = {}
-    rows.sort(key=lambda r: (r.h, r.label))
-    bags = [(*(frozenset(known.setdefault(s, s) for s in part) for part in (r.tokens, r.pairs)), r.label) for r in rows]
-    model, disguises, cuts = fit(bags)
-    del rows, known, bags
+    rows = sample.mapInArrow(_bags, "h long, label int, bag long, tokens array<string>, pairs array<string>").toArrow()
+    model, disguises, cuts = fit(rows.sort_by([("h", "ascending"), ("label", "ascending")]).select(["label", "bag", "tokens", "pairs"]))
+    del rows
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
