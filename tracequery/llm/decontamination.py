@@ -15,6 +15,7 @@ block, so texts are never shuffled.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
@@ -237,19 +238,25 @@ class Matcher:
         for x, y in zip(starts[likely].tolist(), ends[likely].tolist()):
             k = int(piece[x])
             item = self.items[k]
-            reach, at, last = max(SLACK, len(item) // 2), x, -1
+            reach, at = max(SLACK, len(item) // 2), x
+            seen: list[tuple[int, int, int, int]] = []
             while at < y:
                 to = at + int(np.searchsorted(shift[at:y], shift[at] + reach, side="right"))
                 low, high = max(0, int(shift[at]) - SLACK), min(len(a), int(shift[to - 1]) + len(item) + SLACK)
-                for score, first, stop in self.passages(item, a[max(low, last) : high], max(low, last)):
-                    found.append((self.ids[k], first, score, stop, to - at, self.first[k]))
-                    last = max(last, stop)
+                seen += [(-score, first, stop, to - at) for score, first, stop in self.passages(item, a[low:high], low)]
                 at = to
+            # Windows overlap and may cut a passage that the next one holds whole: the best of overlapping ones counts.
+            taken: list[tuple[int, int]] = []
+            for score, first, stop, seeds in sorted(set(seen)):
+                i = bisect.bisect(taken, (first, stop))
+                if (i and taken[i - 1][1] > first) or (i < len(taken) and taken[i][0] < stop):
+                    continue
+                taken.insert(i, (first, stop))
+                found.append((self.ids[k], first, -score, stop, seeds, self.first[k]))
         return self.joined(found)
 
     def joined(self, found: list[tuple[int, int, float, int, int, int]]) -> list[tuple[int, float, int, int, int]]:
-        """Passages by item and place. Those of neighbouring pieces of a long item that meet become one; of
-        overlapping ones for one piece the first counts."""
+        """Passages by item and place. Those of neighbouring pieces of a long item that meet become one."""
         out: list[list] = []
         for i, first, score, stop, seeds, at in sorted(found):
             share = score / (MATCH * max(1, self.lengths[i]))
@@ -276,7 +283,7 @@ def _count(vocabulary, grams):
                         c += np.bincount(place, minlength=len(c))
         for kind, c in enumerate(counts):
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind)), pa.array(at), pa.array(c[at])], ["kind", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(c[at])], ["kind", "gram", "n"])
 
     return run
 
@@ -324,7 +331,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least_score: float = LEA
     with a part of it that is worth ``PASSAGE_WORDS`` unchanged words; ``score`` is the share of the whole item.
 
     The places count words from 0, the end exclusive; passages that follow one another are rows of their
-    own, of overlapping ones for one item the first counts. Items of fewer than two words, null ones and
+    own, of overlapping ones for one item the best counts. Items of fewer than two words, null ones and
     those with a null ``item_id`` match nothing; repeated rows of ``benchmark`` count once; null and empty texts
     have no passages; repeated rows of ``docs`` are reported each; empty tables give an empty result;
     further columns are ignored.
