@@ -47,12 +47,13 @@ t{i + 1} as (select host, parts, n, good, bad, case when seg is null then node e
 
 
 def _purities() -> str:
-    """From the root down: each node's purity, and the prior for its children."""
-    out = f"b0 as (select host, node, (s + {PRIOR * PRIOR_WEIGHT}) / (k + {PRIOR_WEIGHT}) as base, g + b > 0 as host_known from every where len(node) = 0),"
+    """From the root down: each node's prior, its purity, and what stands behind the priors of its children."""
+    out = f"b0 as (select host, node, s, k, {PRIOR}::double as behind, g + b > 0 as host_known from every where len(node) = 0),"
     for i in range(1, DEPTH + 1):
         out += f"""
-h{i} as (select every.*, p.base as prior, host_known from every join b{i - 1} p on every.host = p.host and every.node[:{i - 1}] = p.node where len(every.node) = {i}),
-b{i} as (select host, node, (s + {PRIOR_WEIGHT} * prior) / (k + {PRIOR_WEIGHT}) as base, host_known from h{i}),"""
+h{i} as (select every.*, (p.s - case when mg + mb > 0 then mg / (mg + mb) else 0 end + {PRIOR_WEIGHT} * behind) / (p.k - (g + b > 0)::int + {PRIOR_WEIGHT}) as prior, host_known
+ from every join b{i - 1} p on every.host = p.host and every.node[:{i - 1}] = p.node where len(every.node) = {i}),
+b{i} as (select host, node, s, k, (mg - g + {PRIOR_WEIGHT} * prior) / (mg - g + mb - b + {PRIOR_WEIGHT}) as behind, host_known from h{i}),"""
     rows = " union all ".join(f"select * from h{i}" for i in range(1, DEPTH + 1))
     return out + f"""
 purities as (select host, node, (mg + {PRIOR_WEIGHT} * prior) / (mg + mb + {PRIOR_WEIGHT}) as purity, case when g + b > 0 then 'template' when host_known then 'branch' else 'none' end as evidence from ({rows})),"""

@@ -4,9 +4,10 @@ Variable path segments (numbers, hashes, numbered names) become wildcards by the
 become wildcards where a node of the tree has many rare children. Labelled pages are counted at every node.
 Below one parent, branches in the order of their share of bad pages are merged as long as neighbours do not
 differ significantly. A template is rejected if its smoothed share of good pages, its merged branch's counts
-with its parent's purity as the prior, is too low. A parent's purity is the smoothed mean over its labelled
-branches, each counted once, with its own parent's as the prior; so a template without labels is judged by
-its parents and its host, and many bad branches without a good one reject it, a large one alone does not.
+with a prior from the tree above it, is too low. The prior is the smoothed mean over the parent's other
+labelled branches, each counted once, and behind it what the parent's own merged siblings and the levels above say;
+no page counts twice. So a template without labels is judged by its parents and its host: many bad branches
+without a good one reject it, a large one alone does not.
 Only DataFrame functions are used.
 
 The tree is built over distinct templates of a host, not over pages. A node has at most ``MANY_CHILDREN``
@@ -122,16 +123,21 @@ def judged_templates(judged: DataFrame) -> DataFrame:
     kids = merged.groupBy("host", F.col("parent").alias("node")).agg(F.sum(share).alias("s"), F.count(F.lit(1)).alias("k"))
     every = nodes.join(kids, ["host", "node"], "left").join(merged.drop("parent"), ["host", "node"], "left")
     every = materialize(every.na.fill(0, ["s", "k", "mg", "mb"]), "nodes")
-    # From the root down: a node's own purity as its parent's child, and the prior it hands to its children.
-    known = every.where("size(node) = 0").select("host", "node", ((F.col("s") + PRIOR * PRIOR_WEIGHT) / (F.col("k") + PRIOR_WEIGHT)).alias("base"), (F.col("g") + F.col("b") > 0).alias("host_known"))
+    # From the root down: a node's prior from its parent's other branches, its purity, and what its merged siblings
+    # alone say, which stands behind the priors of its children.
+    known = every.where("size(node) = 0").select("host", "node", "s", "k", F.lit(PRIOR).alias("behind"), (F.col("g") + F.col("b") > 0).alias("host_known"))
     purity = None
+    own, merged_n = F.col("g") + F.col("b"), F.col("mg") + F.col("mb")
+    own_share = F.when(merged_n > 0, F.col("mg") / merged_n).otherwise(0.0)
+    prior = (F.col("ps") - own_share + PRIOR_WEIGHT * F.col("above")) / (F.col("pk") - (own > 0).cast("int") + PRIOR_WEIGHT)
     for level in range(1, DEPTH + 1):
-        above = known.select("host", F.col("node").alias("parent"), F.col("base").alias("prior"), "host_known")
+        above = known.select("host", F.col("node").alias("parent"), F.col("s").alias("ps"), F.col("k").alias("pk"), F.col("behind").alias("above"), "host_known")
         here = every.where(F.size("node") == level).withColumn("parent", F.slice("node", F.lit(1), F.lit(level - 1))).join(above, ["host", "parent"])
-        here = here.withColumn("purity", (F.col("mg") + PRIOR_WEIGHT * F.col("prior")) / (F.col("mg") + F.col("mb") + PRIOR_WEIGHT))
-        found = here.select("host", "node", "purity", F.when(F.col("g") + F.col("b") > 0, "template").when(F.col("host_known"), "branch").otherwise("none").alias("evidence"))
+        here = here.withColumn("prior", prior).withColumn("purity", (F.col("mg") + PRIOR_WEIGHT * F.col("prior")) / (merged_n + PRIOR_WEIGHT))
+        found = here.select("host", "node", "purity", F.when(own > 0, "template").when(F.col("host_known"), "branch").otherwise("none").alias("evidence"))
         purity = found if purity is None else purity.unionByName(found)
-        known = here.select("host", "node", ((F.col("s") + PRIOR_WEIGHT * F.col("prior")) / (F.col("k") + PRIOR_WEIGHT)).alias("base"), "host_known")
+        behind = (F.col("mg") - F.col("g") + PRIOR_WEIGHT * F.col("prior")) / (merged_n - own + PRIOR_WEIGHT)
+        known = here.select("host", "node", "s", "k", behind.alias("behind"), "host_known")
     return materialize(leaves.join(purity, ["host", "node"]).select("host", "parts", "purity", "evidence"), "purity")
 
 
