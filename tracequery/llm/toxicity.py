@@ -49,8 +49,9 @@ PRIOR, PAIR_PRIOR = 0.02, 0.02
 NEGATIVES = 12_000
 CACHED_TOKENS = 500_000
 #: Units of text whose pairs of words are scored together.
-UNITS = 1 << 20
+UNITS = 1 << 16
 LOWEST = -3.0
+MARKS = ".,;:!?\"'()[]{}<>*#-"
 
 _LETTERS = re.compile(r"[^\W_]+")
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -60,6 +61,8 @@ _CODES = 1 << 18
 def strings_of(token: str) -> list[str]:
     """The strings of a lower-case token: its parts of letters and digits, and all of them joined (an insult
     with marks inserted). Long ones come as overlapping windows."""
+    if token.isalpha() and len(token) <= LONGEST:
+        return [token] if len(token) > 1 else []
     parts = _LETTERS.findall(token)
     if len(parts) > 1:
         parts.append("".join(parts))
@@ -146,7 +149,7 @@ class Pairs:
         c = letter_classes()[np.frombuffer(b"".join(coded), "<u2")]
         ends = np.cumsum([len(x) // 2 for x in coded])
         kept = np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)]) if len(c) else np.zeros(0, bool)
-        place, sequence = np.flatnonzero(kept), c[kept]
+        place, sequence = np.flatnonzero(kept), c[kept].astype(np.int64)
         word = np.flatnonzero((sequence[1:] != 0) & (sequence[:-1] == 0)) + 1
         stop = np.flatnonzero((sequence[1:] == 0) & (sequence[:-1] != 0)) + 1
         owner = np.searchsorted(ends, place[word], side="right")
@@ -157,14 +160,17 @@ class Pairs:
     def sums(self, weights: np.ndarray) -> np.ndarray:
         """The weighted sum over each pair's subsequences, from running totals for every span."""
         n, out = len(self.sequence), np.zeros(len(self.start))
-        high, middle = self.sequence << np.uint32(12), self.sequence << np.uint32(6)
+        # The first two classes of a subsequence by the distance between them, shared by all spans.
+        heads = [None, *((self.sequence[: n - inner] << 12) | (self.sequence[inner:] << 6) for inner in range(1, min(REACH, n)))]
         for span in range(2, REACH + 1):
             if n <= span:
                 break
-            total = np.zeros(n - span, dtype=weights.dtype)
-            for inner in range(1, span):
-                total += weights[high[: n - span] | middle[inner : n - span + inner] | self.sequence[span:]]
-            run = np.concatenate([[0.0], np.cumsum(total, dtype=np.float64)])
+            last = self.sequence[span:]
+            total = weights.take(heads[1][: n - span] | last, mode="clip")
+            for inner in range(2, span):
+                total += weights.take(heads[inner][: n - span] | last, mode="clip")
+            run = np.zeros(n - span + 1)
+            np.cumsum(total, dtype=np.float64, out=run[1:])
             first = np.minimum(self.start, n - span)
             out += DECAY ** (span + 1.0) * (run[np.maximum(self.end - span, first)] - run[first])
         return out
@@ -176,7 +182,7 @@ class Pairs:
             at = np.flatnonzero(sizes == size)
             for i in range(0, len(at), 4096):
                 rows = at[i : i + 4096]
-                c = self.sequence[self.start[some[rows]][:, None] + np.arange(size)].astype(np.int64)
+                c = self.sequence[self.start[some[rows]][:, None] + np.arange(size)]
                 codes, w = _codes_of(c)
                 out[rows] = (weights[codes] @ w) / _norms(codes, w)
         return out
@@ -330,7 +336,8 @@ class ToxicityModel:
     def features(self, texts: list[str]) -> np.ndarray:
         """The best score of each text's tokens and of its pairs of words, by whole text."""
         tokens = [t.lower().split() for t in texts]
-        sets = [set(t).union(spaced_out(t)) for t in tokens]
+        # Marks at the ends of a token are no part of its strings.
+        sets = [{x.strip(MARKS) for x in set(t)}.union(spaced_out(t)) for t in tokens]
         self.learn_tokens(set().union(*sets))
         get = self.cache.__getitem__
         out = np.empty((len(texts), 2))
