@@ -1,11 +1,11 @@
 """Benchmark decontamination: rare n-gram seeds and Smith-Waterman alignment.
 
 Words are compared in lower case without marks at their ends. Seeds are n-grams of the test items that are rare
-in the corpus, by a count over all its texts: 3-grams, and 2-grams (also with one word between), which
-survive where every third word is edited. Of every ``SEED_RUN`` neighbouring 3-grams of an item the rarest is a
+in the corpus, by a count over all its texts: 3-grams, and 2-grams, which survive where every third word is
+edited. Of every ``SEED_RUN`` neighbouring 3-grams of an item the rarest is a
 seed whatever its count, so any stretch of ``SEED_RUN + 2`` unchanged words holds one, however common a
 leaked passage has become. Texts that contain seeds are aligned with their item around the place they point
-to, and the alignment score, as a share of a perfect one, decides. Edited and paraphrased copies lose score
+to if enough 2-grams of the item stand there, and the alignment score, as a share of a perfect one, decides. Edited and paraphrased copies lose score
 by their changed words only. A part of an item counts by itself if, with every changed word weighed as
 ``STRICT``, it is worth ``PASSAGE_WORDS`` unchanged words, however long the item is.
 
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 SEED_WORDS = 3
 SEED_RUN = 3
-#: Grams of at most so many occurrences per word of the corpus are rare (3-grams, 2-grams, 2-grams with a gap), and
-#: such of at most so many in all.
-RARE, RARE_COUNT = (1e-4, 2e-5, 5e-6), 100.0
+#: Grams of at most so many occurrences per word of the corpus are rare (3-grams, 2-grams), and such of at most so
+#: many in all.
+RARE, RARE_COUNT = (1e-4, 2e-5), 100.0
 #: Items over so many words are aligned in pieces that overlap by twice ``PASSAGE_WORDS``.
 PIECE_WORDS = 400
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -100,21 +100,18 @@ def align(item: np.ndarray, window: np.ndarray, mismatch: int = MISMATCH, gap: i
 
 
 class Grams:
-    """The 2- and 3-grams of some word sequences as sorted codes, and the search for them in other sequences.
-
-    A 2-gram with ``gap`` stands for two words with one more between them. A bitmap of hashed 2-grams settles
-    most places of a text with one look.
-    """
+    """The 2- and 3-grams of some word sequences as sorted codes, and the search for them in other sequences. A
+    bitmap of hashed 2-grams settles most places of a text with one look."""
 
     def __init__(self, items: list[np.ndarray], words: int):
         self.base = words + 1
-        self.two = np.unique(np.concatenate([*(self.code(a, 1) for a in items), *(self.code(a, 2) for a in items), np.empty(0, np.int64)]))
+        self.two = np.unique(np.concatenate([*(self.code(a) for a in items), np.empty(0, np.int64)]))
         self.three = np.unique(np.concatenate([*(self.code3(a) for a in items), np.empty(0, np.int64)]))
         self.bits = np.zeros(1 << 22, dtype=bool)
         self.bits[self.slot(self.two)] = True
 
-    def code(self, a: np.ndarray, step: int) -> np.ndarray:
-        return a[: max(0, len(a) - step)] * self.base + a[step:]
+    def code(self, a: np.ndarray) -> np.ndarray:
+        return a[:-1] * self.base + a[1:]
 
     def code3(self, a: np.ndarray) -> np.ndarray:
         return (a[: max(0, len(a) - 2)] * self.base + a[1 : len(a) - 1]) * self.base + a[2:] if len(a) > 2 else np.empty(0, np.int64)
@@ -133,24 +130,21 @@ class Grams:
         return at, place[at]
 
     def found(self, a: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For 3-grams, 2-grams and 2-grams with a gap: where in ``a`` they start, and their places among the codes."""
-        known, out = a > 0, []
-        for step in (1, 2):
-            code = self.code(a, step)
-            at = np.flatnonzero(known[: len(code)] & known[step:] & self.bits[self.slot(code)])
-            some, place = self.among(self.two, code[at])
-            out.append((at[some], place))
-        start = out[0][0]
-        start = start[:-1][np.diff(start) == 1]
+        """For 3-grams and 2-grams: where in ``a`` they start, and their places among the codes."""
+        known, code = a > 0, self.code(a)
+        at = np.flatnonzero(known[:-1] & known[1:] & self.bits[self.slot(code)])
+        some, place = self.among(self.two, code[at])
+        pairs = at[some], place
+        start = pairs[0][:-1][np.diff(pairs[0]) == 1]
         some, place = self.among(self.three, (a[start] * self.base + a[start + 1]) * self.base + a[start + 2])
-        return [(start[some], place), *out]
+        return [(start[some], place), pairs]
 
 
 class Matcher:
     """Seeds of the test items and the search for them in word ids."""
 
     def __init__(self, items: list[tuple[int, str]], vocabulary: dict[str, int], grams: Grams, counts: list[np.ndarray], total: int, least_score: float = LEAST_SCORE):
-        """``counts`` are those of the 3-grams, 2-grams and 2-grams with a gap in a corpus of ``total`` words."""
+        """``counts`` are those of the 3-grams and 2-grams in a corpus of ``total`` words."""
         self.least_score, self.grams = least_score, grams
         self.words = WordIds(vocabulary)
         self.ids: list[int] = []
@@ -166,19 +160,16 @@ class Matcher:
         self.lengths = {i: len(self.words.of(t)) for i, t in items}
         rare = [c <= max(RARE_COUNT, share * total) for c, share in zip(counts, RARE)]
         # Per kind of gram: the item pieces and places of each code, in runs.
-        chosen: list[list[tuple[int, int, int]]] = [[], [], []]
+        chosen: list[list[tuple[int, int, int]]] = [[], []]
         for k, a in enumerate(self.items):
             three = np.searchsorted(grams.three, grams.code3(a))
             keep = rare[0][three]
             for i in range(max(0, len(three) - SEED_RUN + 1)) or range(min(1, len(three))):
                 keep[i + int(np.argmin(counts[0][three[i : i + SEED_RUN]]))] = True
             chosen[0] += [(int(three[i]), k, i) for i in np.flatnonzero(keep).tolist()]
-            one, two = (np.searchsorted(grams.two, grams.code(a, step)) for step in (1, 2))
-            # A pair of the item may stand in a text as it is, lose the word between, or gain one.
-            chosen[1] += [(int(c), k, i) for i, c in enumerate(one.tolist()) if rare[1][c]]
-            chosen[2] += [(int(c), k, i) for i, c in [*enumerate(one.tolist()), *enumerate(two.tolist())] if rare[2][c]]
+            chosen[1] += [(int(c), k, i) for i, c in enumerate(np.searchsorted(grams.two, grams.code(a)).tolist()) if rare[1][c]]
         self.runs = []
-        for kind, known in zip(chosen, (grams.three, grams.two, grams.two)):
+        for kind, known in zip(chosen, (grams.three, grams.two)):
             rows = np.array(sorted(kind), dtype=np.int64).reshape(-1, 3)
             edges = np.searchsorted(rows[:, 0], np.arange(len(known) + 1))
             self.runs.append((edges, rows[:, 1], rows[:, 2]))
@@ -192,16 +183,21 @@ class Matcher:
             if not n.any():
                 continue
             rows = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            out.append(np.stack([item[rows], np.repeat(at, n) - where[rows], np.full(len(rows), min(kind, 1))], axis=1))
+            out.append(np.stack([item[rows], np.repeat(at, n) - where[rows], np.full(len(rows), kind)], axis=1))
         if not out:
             return np.empty((0, 3), np.int64)
         rows = np.concatenate(out)
         return rows[np.lexsort((rows[:, 1], rows[:, 0]))]
 
     def passages(self, item: np.ndarray, window: np.ndarray, low: int) -> Iterator[tuple[int, int, int]]:
-        """``(score, first, stop)`` of the best passage in a window and of those before and after it."""
-        # A perfect word can add MATCH at most, so too few common words settle it.
-        if np.isin(item, window).sum() < min(self.least_score * len(item), PASSAGE_WORDS):
+        """``(score, first, stop)`` of the best passage in a window and of those before and after it.
+
+        With m of n words matched, half a perfect score leaves 2 m - n - 1 >= n / 3 - 1 pairs of neighbours whole where
+        words are changed or left out, and a part that counts by itself leaves more than PASSAGE_WORDS - 4; a quarter of
+        the pairs leaves room for words put in. Fewer settle it without an alignment.
+        """
+        pairs = self.grams.code(item)
+        if len(window) < 2 or np.isin(pairs, self.grams.code(window)).sum() < min(max(1, len(item) // 4 - 1), PASSAGE_WORDS - 4):
             return
         costs = (MISMATCH, GAP)
         score, end = align(item, window)
@@ -233,8 +229,8 @@ class Matcher:
         new = np.concatenate([[True], (piece[1:] != piece[:-1]) | (np.diff(shift) > SLACK)])
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], len(hits))
-        # An alignment of half the score that holds no 3-gram of the item holds a pair in every six words.
-        likely = (np.minimum.reduceat(kind, starts) == 0) | (ends - starts >= np.minimum(self.sizes[piece[starts]] // 6, 3))
+        # A passage of an item of 12 words or more holds several seeds; without a 3-gram among them it holds more.
+        likely = ends - starts >= np.minimum(self.sizes[piece[starts]] // 6, 2 + np.minimum.reduceat(kind, starts))
         for x, y in zip(starts[likely].tolist(), ends[likely].tolist()):
             k = int(piece[x])
             item = self.items[k]
@@ -269,18 +265,17 @@ class Matcher:
 
 
 def _count(vocabulary, grams):
-    """Occurrences of each gram in a task's texts, and the number of words (kind 3)."""
+    """Occurrences of each gram in a task's texts, and the number of words (kind 2)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, g = WordIds(vocabulary.value), grams.value
-        counts = [np.zeros(len(k), dtype=np.int64) for k in (g.three, g.two, g.two)] + [np.zeros(1, dtype=np.int64)]
+        counts = [np.zeros(len(k), dtype=np.int64) for k in (g.three, g.two)] + [np.zeros(1, dtype=np.int64)]
         for batch in batches:
             for t in batch.column(0):
                 a = words.of(t.as_py() or "")
-                counts[3][0] += len(a)
-                for c, (_, place) in zip(counts, g.found(a)):
-                    if len(place):
-                        c += np.bincount(place, minlength=len(c))
+                counts[2][0] += len(a)
+                for c, (_, place) in zip(counts, g.found(a) if len(a) > 1 else ()):
+                    np.add.at(c, place, 1)
         for kind, c in enumerate(counts):
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(at), pa.array(c[at])], ["kind", "gram", "n"])
@@ -306,10 +301,10 @@ def matchers(docs: DataFrame, benchmark: DataFrame, least_score: float = LEAST_S
         grams = Grams([words.of(t) for _, t in items], len(vocabulary))
         shared = sc.broadcast(vocabulary), sc.broadcast(grams)
         counted = docs.select("text").mapInArrow(_count(*shared), "kind int, gram long, n long").groupBy("kind", "gram").agg(F.sum("n").alias("n")).collect()
-        counts = [np.zeros(len(k)) for k in (grams.three, grams.two, grams.two)] + [np.zeros(1)]
+        counts = [np.zeros(len(k)) for k in (grams.three, grams.two)] + [np.zeros(1)]
         for kind, gram, n in counted:
             counts[kind][gram] = n
-        out.append(sc.broadcast(Matcher(items, vocabulary, grams, counts[:3], int(counts[3][0]), least_score)))
+        out.append(sc.broadcast(Matcher(items, vocabulary, grams, counts[:2], int(counts[2][0]), least_score)))
     return out
 
 
