@@ -1,5 +1,6 @@
 """Statistics, state, curves, chat, logs, generation, streaming."""
 
+import hashlib
 import json
 import random
 
@@ -146,6 +147,16 @@ def test_documents_and_manifest(spark, tmp_path):
     assert slugify("a b//c") == "a_b_c" and slugify("//") == "model"
 
 
+def test_fingerprint_streams_texts_in_order_and_gathers_none(spark):
+    rows = [(i * 7 % 500, "é" * (i % 40) + str(i)) for i in range(500)] + [(3, "b"), (3, "a"), (3, None), (None, "none"), (9, "")]
+    df = spark.createDataFrame(rows, "o long, t string").repartition(5)
+    out = fingerprint.fingerprint(df, F.col("t"), "o")
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    ordered = sorted(((o is not None, o or 0, (t or "").encode()) for o, t in rows))
+    assert tuple(out.first()) == (hashlib.sha256(b"".join(t for *_, t in ordered)).hexdigest(), len(rows))
+    assert tuple(fingerprint.fingerprint(df.where("o < 0"), F.col("t"), "o").first()) == (fingerprint.of_rows([]), 0)
+
+
 def test_merged_summaries_keep_the_first_teacher(spark):
     def one(*conditions):
         return spark.createDataFrame([(i, c, "m") for i, c in enumerate(conditions)], "row_no int, condition string, model string")

@@ -4,18 +4,36 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 
+def _hash_in_order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    h, n = hashlib.sha256(), 0
+    for batch in batches:
+        n += batch.num_rows
+        for t in batch.column(0):
+            h.update(t.as_buffer())
+    yield pa.RecordBatch.from_pylist([{"fingerprint": h.hexdigest(), "n": n}])
+
+
 def fingerprint(df: DataFrame, text: Column, order: str) -> DataFrame:
-    """SHA-256 over the rows' texts in order, for tables whose texts fit one cell (2 GB)."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t"))))
-    return df.agg(F.sha2(F.array_join(F.transform(rows, lambda r: r["t"]), ""), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
+    """SHA-256 over the rows' texts in order (of equal ``order`` in order of text; null texts add nothing), for tables of any size.
+
+    A SHA-256 is one chain, so one task hashes, but it holds no more than a batch: rows reach it through a sort
+    that spills. :func:`tree_fingerprint` hashes in all tasks.
+    """
+    rows = df.select(F.col(order).alias("o"), F.coalesce(text.cast("string").cast("binary"), F.lit(b"")).alias("t"))
+    rows = rows.repartition(1).sortWithinPartitions("o", "t").select("t")
+    got = rows.mapInArrow(_hash_in_order, "fingerprint string, n long")
+    # An empty table may have no task at all.
+    empty = F.lit(hashlib.sha256().hexdigest())
+    return got.agg(F.coalesce(F.max("fingerprint"), empty).alias("fingerprint"), F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
 
 
 def tree_fingerprint(df: DataFrame, text: Column, order: str, leaf: int = 100_000) -> DataFrame:

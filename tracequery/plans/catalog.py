@@ -540,7 +540,7 @@ def i32_slug(spark, sf):
 
 @register("select sha256(string_agg(doc_id::varchar || ':' || text || chr(10), '' order by doc_id)) fingerprint, count(*) n from documents")
 def i34_fingerprint(spark, sf):
-    """For tables whose texts fit one cell; :func:`i34_tree_fingerprint` is for any size."""
+    """One chain over all texts, hashed by one task as they stream by; :func:`i34_tree_fingerprint` hashes in all tasks."""
     return fingerprint.fingerprint(docs(spark, sf), F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("text"), F.lit("\n")), "doc_id")
 
 
