@@ -183,3 +183,45 @@ def test_an_id_with_unlike_texts_is_no_link(spark):
     docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, b), (None, b), (None, "else")], "doc_id long, text string")
     got = sorted((r.doc_id or 0, r.component_id or 0) for r in s.near_duplicates(docs).collect())
     assert got == [(0, 0), (0, 2), (1, 1), (2, 1), (2, 2), (3, 2)]
+
+
+def test_trees_find_near_copies_within_their_radius_and_bands_the_rest(spark, monkeypatch):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for i in range(80):
+        words = [word() for _ in range(rng.randrange(100, 300))]
+        copy = list(words)
+        for j in range(3, len(copy), rng.choice([30, 48, 60, 100, 150])):
+            copy[j] = word()
+        texts += [" ".join(words), " ".join(copy)]
+    fps = [s.set_fingerprint(s.shingles(t)) for t in texts]
+    like = {2 * i + 1 for i in range(80) if brute_similarity(texts[2 * i], texts[2 * i + 1]) >= 0.8}
+    close = {2 * i + 1 for i in range(80) if (fps[2 * i] ^ fps[2 * i + 1]).bit_count() <= s.COPY_RADIUS}
+    assert len(like & close) > 10 and len(like - close) > 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gone = lambda: set(range(160)) - {r.doc_id for r in s.drop_near_duplicates(docs).collect()}
+    assert gone() == like
+    monkeypatch.setattr(s, "band_hits", lambda _: spark.createDataFrame([], "src long, dst long"))
+    assert gone() == like & close
+
+
+def test_hits_of_the_trees_are_compared_exactly(spark, monkeypatch):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:300]), " ".join(words[:390])]
+    assert [brute_similarity(texts[0], t) >= 0.8 for t in texts] == [True, False, True]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("xxhash64(text) node", "text")
+    node = [r[0] for r in docs.select("node").collect()]
+    hits = spark.createDataFrame([(n, 1) for n in node], "node long, component long")
+    for few in (s.FEW_TEXTS, 0):
+        monkeypatch.setattr(s, "FEW_TEXTS", few)
+        links = s.compared(docs, hits, 5, 0.8, 512).collect()
+        assert {frozenset(r) for r in links} == {frozenset((node[0], node[2]))}
+
+
+def test_set_fingerprint():
+    rng = random.Random(14)
+    for n in (1, 2, 9, 9000):
+        hashes = [rng.getrandbits(64) for _ in range(n)]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > n)
+        assert s.set_fingerprint(np.array(sorted(hashes), dtype=np.uint64)) == want

@@ -7,7 +7,9 @@ shard is. A tree's children are keyed by their integer Hamming distance to the p
 radius r follows only the edges d - r .. d + r. No link is lost, and a shard emits a spanning star per
 group, not its pairs.
 
-The pipeline drops near copies by the similarity of their shingles instead (:func:`drop_near_duplicates`).
+The pipeline drops near copies by the similarity of their shingles (:func:`drop_near_duplicates`): hits of the
+same trees, over fingerprints of its own shingles, are compared exactly, and bands of smallest hashes add the
+pairs whose fingerprints lie further apart than trees can search.
 """
 
 from __future__ import annotations
@@ -33,9 +35,11 @@ TARGET_SHARD = 256
 #: Near copies that the pipeline drops: shingles of five words, Jaccard similarity of 0.8 and more.
 COPY_WORDS = 5
 LEAST_SIMILARITY = 0.8
+COPY_RADIUS = 5
 BAND_ROWS = 5
 MISS = 1e-6
 TEXT_BLOCK = 512
+FEW_TEXTS = 1_000_000
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = SEED) -> int:
@@ -213,6 +217,14 @@ def shingles(text: str | None, words: int = COPY_WORDS, seed: int = SEED) -> np.
     return np.unique(np.array([digest(joined[a:b], seed) for a, b in zip(starts, ends[words - 1 :].tolist())], dtype=np.uint64))
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """The 64-bit fingerprint of a set of hashes: a bit is set if over half of them set it."""
+    counts = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(hashes), 8192):
+        counts += np.unpackbits(hashes[i : i + 8192].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def bands_for(least: float, rows: int = BAND_ROWS, miss: float = MISS) -> int:
     """Number of bands at which two sets of similarity ``least`` share none with probability ``miss`` at most."""
     return max(1, math.ceil(math.log(miss) / math.log1p(-(least**rows)))) if least < 1 else 1
@@ -239,14 +251,18 @@ class Bands:
         return keys.view(np.int64)
 
 
-def _band_keys(words: int, least: float):
+def _sketches(words: int, least: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(bands_for(least))
         for batch in batches:
-            flat = [bands.of(shingles(t.as_py(), words)) for t in batch.column(1)]
+            fps, flat = [], []
+            for t in batch.column(1):
+                own = shingles(t.as_py(), words)
+                fps.append(set_fingerprint(own))
+                flat.append(bands.of(own))
             ends = np.arange(len(flat) + 1, dtype=np.int32) * bands.shape[0]
             keys = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), keys], ["node", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64)), keys], ["node", "fp", "keys"])
 
     return run
 
@@ -316,33 +332,57 @@ def _similar_links(words: int, least: float):
     return run
 
 
-def similar_texts(docs: DataFrame, words: int = COPY_WORDS, least: float = LEAST_SIMILARITY, block: int = TEXT_BLOCK) -> DataFrame:
-    """``(node, component)`` of the texts of ``docs(text)`` that have a near copy; ``node`` is ``xxhash64(text)``.
+def tree_hits(sketches: DataFrame, radius: int = COPY_RADIUS) -> DataFrame:
+    """Links ``(src, dst)`` that connect the texts of ``sketches(node, fp)`` exactly as fingerprints of at most ``radius``
+    differing bits do, found in the same trees as op10's."""
+    distinct = materialize(sketches.groupBy("fp").agg(F.min("node").alias("low")), "distinct")
+    near = linked_values(distinct.select("fp"), radius)
+    near = near.join(distinct.toDF("src", "a"), "src").join(distinct.toDF("dst", "b"), "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    same = sketches.select("node", "fp").join(distinct, "fp").where("node != low")
+    return near.unionByName(same.select(F.col("node").alias("src"), F.col("low").alias("dst")))
 
-    Texts are linked if their sets of ``words``-word shingles have a Jaccard similarity of ``least`` or
-    more. Texts that share a band of smallest hashes are candidates (a link is missed with probability
-    ``MISS`` at most); whole candidate groups are then compared exactly, those over ``block`` texts as
-    pairs of blocks.
-    """
-    texts = docs.select(F.xxhash64("text").alias("node"), "text")
-    keys = texts.select("node", "text").mapInArrow(_band_keys(words, least), "node long, keys array<long>")
-    dealt = keys.groupBy("node").agg(F.first("keys").alias("keys")).select("node", F.explode("keys").alias("key"))
+
+def band_hits(sketches: DataFrame) -> DataFrame:
+    """Links ``(src, dst)`` of the texts of ``sketches(node, keys)`` that share a band of smallest hashes."""
     first = F.first("node").over(Window.partitionBy("key").orderBy("node"))
-    near = components(dealt.select("node", first.alias("low")).where("node != low"), "node", "low")
-    near = materialize(near, "candidates")
-    members = texts.groupBy("node").agg(F.first("text").alias("text")).join(near, "node")
+    dealt = sketches.select("node", F.explode("keys").alias("key"))
+    return dealt.select(F.col("node").alias("src"), first.alias("dst")).where("src != dst")
+
+
+def compared(texts: DataFrame, near: DataFrame, words: int, least: float, block: int) -> DataFrame:
+    """Links ``(src, dst)`` that connect the texts of every component of ``near(node, component)`` exactly as similarities of
+    ``least`` and more do. Up to ``FEW_TEXTS`` rows of ``near`` are broadcast, so only their texts move."""
+    if near.count() <= FEW_TEXTS:
+        members = texts.join(F.broadcast(near), "node").groupBy("node").agg(F.first("text").alias("text"), F.first("component").alias("component"))
+    else:
+        members = texts.groupBy("node").agg(F.first("text").alias("text")).join(near, "node")
     group = ["component", "__a", "__b"]
     pairs = split_hot(materialize(members, "members"), ["component"], "node", block)
     pairs = pairs.repartition(*group).sortWithinPartitions(*group, "node").select(*group, "node", "text")
-    return components(pairs.mapInArrow(_similar_links(words, least), "src long, dst long"), "src", "dst")
+    return pairs.mapInArrow(_similar_links(words, least), "src long, dst long")
+
+
+def similar_texts(docs: DataFrame, words: int = COPY_WORDS, least: float = LEAST_SIMILARITY, block: int = TEXT_BLOCK, radius: int = COPY_RADIUS) -> DataFrame:
+    """``(node, component)`` of the texts of ``docs(text)`` that have a near copy; ``node`` is ``xxhash64(text)``.
+
+    Texts are linked if their sets of ``words``-word shingles have a Jaccard similarity of ``least`` or more.
+    Fingerprints of these sets are searched in BK-trees, where no hit within ``radius`` bits is missed. Similar texts can
+    differ in more bits than trees can search, so texts that share a band of smallest hashes are candidates
+    too (a link is missed with probability ``MISS`` at most). Whole candidate groups are then compared exactly, those over
+    ``block`` texts as pairs of blocks.
+    """
+    texts = docs.select(F.xxhash64("text").alias("node"), "text")
+    sketches = texts.mapInArrow(_sketches(words, least), "node long, fp long, keys array<long>")
+    sketches = materialize(sketches.groupBy("node").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys")), "sketches")
+    near = materialize(components(tree_hits(sketches, radius).unionByName(band_hits(sketches)), "src", "dst"), "candidates")
+    return components(compared(texts, near, words, least, block), "src", "dst")
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = COPY_WORDS, least: float = LEAST_SIMILARITY) -> DataFrame:
     """``docs`` with one row of every class of near copies, that of smallest ``doc_id``; all columns stay as they are.
 
-    Classes are those of :func:`similar_texts`, which do not depend on op10's fingerprints: copies of
-    similarity 0.8 differ in about 7 bits on average and many in more, a radius at which neither blocks nor trees
-    narrow the search. Classes follow from texts alone, so unlike texts of one ``doc_id`` all stay, and copies without a
+    Classes are those of :func:`similar_texts`: hits in the trees of fingerprints and pairs beyond their radius, both
+    compared exactly. Classes follow from texts alone, so unlike texts of one ``doc_id`` all stay, and copies without a
     ``doc_id`` are dropped like others; a row with one is kept before them. Only ids and text hashes are
     joined back, so texts move only if the rows to drop exceed the broadcast threshold.
     """
